@@ -1,0 +1 @@
+"""No streaming operator belongs to the supported feature set, so this package is empty on purpose."""
