@@ -58,12 +58,36 @@ def safe_double(c: Column, dtype: T.DataType | None = None) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def _six_digits(x: Column) -> Column:
+    """``x``, or its six-digit neighbour where the seventh and last decimal digit is a 5.
+
+    Java rounds such a number up by its decimal text; the exact binary value may lie below the
+    tie. The sign of x·10^j - n is computed without rounding (Dekker's product) and decides.
+    """
+    size = F.abs(x)
+    places = F.lit(6) - F.floor(F.log10(size)).cast("int")
+    scale = F.pow(F.lit(10.0), places)
+    product = size * scale
+    n = F.rint(product)
+    tie = places.between(1, 22) & (n % 10 == 5) & (n / scale == size)
+
+    def halves(v):
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
+
+    (a, b), (c, d) = halves(size), halves(scale)
+    rest = (product - n) + ((((a * c - product) + a * d) + b * c) + b * d)
+    down = (n - 5) / 10
+    up = (rest > 0) | ((rest == 0) & (down % 2 == 1))
+    return F.when(tie, F.signum(x) * F.when(up, down + 1).otherwise(down) / (scale / 10)).otherwise(x)
+
+
 def join_key(c: Column) -> Column:
     """Text under which ``1``, ``1.0``, `` 1`` and ``001`` are the same key."""
     text = F.trim(c.cast("string"))
     number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
     number = F.when(F.abs(number) < F.lit(float("inf")), number)
-    short = F.regexp_replace(F.format_string("%g", number), r"([.][0-9]*?)0+(e|$)", "$1$2")
+    short = F.regexp_replace(F.format_string("%g", _six_digits(number)), r"([.][0-9]*?)0+(e|$)", "$1$2")
     short = F.regexp_replace(short, r"[.](e|$)", "$1")
     whole = number == F.floor(number)
     small = whole & (F.abs(number) < F.lit(1e18))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rekindle.session import materialise
+from rekindle.session import local_table, materialise
 
 PART_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
@@ -21,7 +21,7 @@ def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
     for row in placed.groupBy(F.shiftright("_at", PART_BITS).alias("p")).count().orderBy("p").collect():
         offsets.append((row["p"], total - (row["p"] << PART_BITS)))
         total += row["count"]
-    shift = df.sparkSession.createDataFrame(offsets, "_part bigint, _shift bigint")
+    shift = local_table(df.sparkSession, offsets, "_part bigint, _shift bigint")
     return (
         placed.join(F.broadcast(shift), F.shiftright("_at", PART_BITS) == F.col("_part"))
         .withColumn(name, (F.col("_at") + F.col("_shift")).cast("int"))

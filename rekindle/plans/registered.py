@@ -14,17 +14,21 @@ from rekindle.operators import (
     downsample,
     evaluate,
     explain,
+    factors,
     feedback,
+    gradient,
+    hybrid,
+    implicit,
     leaderboard as boards,
+    linear,
     neighbours,
-    factors,
-    implicit,
     popularity,
     registry,
     serving,
     split,
 )
 from rekindle.plans import tables
+from rekindle.session import local_table
 from rekindle.sources import readers
 
 QUERIES = {}
@@ -307,13 +311,94 @@ def downsampled(spark: SparkSession, folder: str) -> DataFrame:
     return downsample.densest(tables.order_interactions(spark, folder), 500, 300)
 
 
+# -- models that SQL cannot express ----------------------------------------------------------
+
+
+def model_lists(model, parts) -> DataFrame:
+    return rounded(model.top(parts.train, parts.test, 10), "score")
+
+
+@query
+def svd_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return model_lists(factors.svd(parts.train), parts)
+
+
+@query
+def temporal_svd_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return model_lists(factors.temporal_svd(parts.train, n_components=20, n_time_bins=3, passes=3), parts)
+
+
+@query
+def nmf_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return model_lists(factors.nmf(parts.train, max_iter=10), parts)
+
+
+@query
+def als_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return model_lists(implicit.als(parts.train), parts)
+
+
+@query
+def bm25_als_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return model_lists(implicit.bm25_als(parts.train, n_iterations=5), parts)
+
+
+@query
+def purchase_als_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.event_split(spark, folder)
+    return model_lists(implicit.purchase_als(parts.train), parts)
+
+
+@query
+def ease_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return rounded(linear.ease_top(parts.train, parts.test, 10), "score")
+
+
+@query
+def svdpp_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return model_lists(gradient.svdpp(parts.train, n_epochs=5), parts)
+
+
+@query
+def fm_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    train = tables.with_part_features(parts.train, spark, folder)
+    return model_lists(hybrid.factorization_machine_model(train, n_epochs=5), parts)
+
+
+@query
+def bpr_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return model_lists(gradient.bpr(parts.train, n_epochs=5), parts)
+
+
+@query
+def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    train = tables.with_segment(tables.with_part_features(parts.train, spark, folder), spark, folder)
+    return model_lists(hybrid.lightfm_style(train, passes=3), parts)
+
+
+@query
+def autoencoder_topk(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    return model_lists(gradient.autoencoder(parts.train, max_iter=10), parts)
+
+
 # -- benchmark tables ------------------------------------------------------------------------
 
 
 @query
 def scalability_score(spark: SparkSession, folder: str) -> DataFrame:
     rows = [(e.name, e.scalability, e.max_users, e.max_items) for e in CATALOGUE.values()]
-    entries = spark.createDataFrame(rows, "algorithm string, rating string, max_users bigint, max_items bigint")
+    entries = local_table(spark, rows, "algorithm string, rating string, max_users bigint, max_items bigint")
     sizes = clean.matrix_stats(tables.order_interactions(spark, folder))
     score = boards.scalability_score(*[F.col(c) for c in ("rating", "n_users", "n_items", "max_users", "max_items")])
     return sizes.crossJoin(F.broadcast(entries)).select("algorithm", F.round(score, 6).alias("score"))
@@ -424,7 +509,7 @@ def popularity_fallback(spark: SparkSession, folder: str) -> DataFrame:
     users = users.union(tables.read(spark, folder, "customer").select(F.col("c_custkey").cast("string")))
     scores = popularity.item_popularity(train)
     lists = lambda known, n: popularity.popular_unseen(scores, train, known, n)
-    return rounded(serving.recommend_for(users, lists, train, "Ecommerce-Popularity", 5), "score", digits=5)
+    return rounded(serving.recommend_for(users, lists, train, "Ecommerce-Popularity", 5), "score")
 
 
 def vectors(spark: SparkSession, folder: str, key: str, shift: int = 0) -> DataFrame:

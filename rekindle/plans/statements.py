@@ -225,8 +225,8 @@ EVENT_RECS = """
 people_ as (select distinct "userID" from train),
 recs as materialized (
   select "userID", "itemID", score from (
-    select u."userID", p."itemID", p.score, row_number() over (partition by u."userID" order by p.score desc, p."itemID") as rn
-    from people_ u, popular p anti join train using ("userID", "itemID")) where rn <= 5)"""
+    select "userID", "itemID", score, row_number() over (partition by "userID" order by score desc, "itemID") as rn
+    from (select "userID", "itemID", score from people_, popular) anti join train using ("userID", "itemID")) where rn <= 5)"""
 
 
 def cos(a: str, b: str) -> str:
@@ -310,10 +310,10 @@ round(count(*) / (count(distinct "userID")::double * count(distinct "itemID")),
     "name_functions": f"""
 select p_partkey, replace(replace(replace(lower(n), '_', ''), ' ', ''), '-', '') as plain,
   regexp_replace(lower(n), '[^a-z0-9]+', '', 'g') as compact,
-  array_to_string(list_distinct_ordered, ',') as tokens, {cleaned('n')} as content, levenshtein(p_name, p_type) as distance
-from (select *, list_reduce(list_prepend([]::varchar[], list_transform(
-          list_filter(string_split(lower(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^0-9a-zA-Z]+', ' ', 'g')), ' '), x -> x <> ''),
-          x -> [x])), (acc, x) -> case when list_contains(acc, x[1]) then acc else list_concat(acc, x) end) as list_distinct_ordered
+  array_to_string(list_filter(words, lambda x, i: list_position(words, x) = i), ',') as tokens,
+  {cleaned('n')} as content, levenshtein(p_name, p_type) as distance
+from (select *, list_filter(string_split(lower(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^0-9a-zA-Z]+', ' ', 'g')), ' '),
+                            lambda x: x <> '') as words
       from (select *, p_brand || '-' || p_name as n from part))""",
     "key_normalise": JOIN_KEY,
     "outer_merge": """
@@ -433,8 +433,8 @@ known as (select * from users where "userID" in (select "userID" from train)),
 scores as (select "userID", "itemID", score from known, popular),
 totals as (select "itemID", sum(rating) as score from train group by 1),
 best as (select *, row_number() over (order by score desc, "itemID") as rank from totals)
-select "userID", "itemID", round(score, 5) as score, rank, 'Ecommerce-Popularity' as algorithm from ({top_unseen('scores', 5)})
-union all select u."userID", b."itemID", round(b.score, 5), b.rank, 'Ecommerce-Popularity+popularity_fallback'
+select "userID", "itemID", score, rank, 'Ecommerce-Popularity' as algorithm from ({top_unseen('scores', 5)})
+union all select u."userID", b."itemID", round(b.score, 6), b.rank, 'Ecommerce-Popularity+popularity_fallback'
 from users u, best b where b.rank <= 5 and u."userID" not in (select "userID" from train)""",
     "similar_items": """with e as materialized (select vec_id::varchar as id, embedding::double[] as v from embeddings)
 select "itemID", similar_id, round(sim, 6) as similarity, rn as rank from (

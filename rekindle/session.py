@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 
@@ -50,7 +53,7 @@ def discard(df: DataFrame | None) -> None:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; exact up to compression for a scan of a materialised table."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -62,30 +65,49 @@ def task_count(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small driver-side table whose size the optimizer knows (an RDD-backed one would count as huge)."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    target = to_arrow_schema(_parse_datatype_string(schema))
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, target)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=target))
+
+
+class HeavyKeys:
+    """Keys that hold more than 1/H of a table's rows, found on first use and kept for later joins.
+
+    There are at most H of them per column, which bounds their broadcast.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.found: dict[str, DataFrame] = {}
+
+    def of(self, key: str) -> DataFrame:
+        if key not in self.found:
+            parts = task_count(self.df.sparkSession)
+            counts = self.df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+            total = counts.agg(F.sum("_n").alias("_all"))
+            hot = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * parts > F.col("_all"))  # one row
+            salts = F.ceil(F.col("_n") * (2 * parts) / F.col("_all")).cast("int")
+            self.found[key] = materialise(hot.select(key, salts.alias("_salts")), 1)
+        return self.found[key]
+
+
+def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
+              heavy: HeavyKeys | None = None) -> DataFrame:
     """Join on ``key`` when ``big`` may hold most of its rows under a few keys and ``small`` has few rows per key.
 
-    Keys above 1/H of all rows are found with one pre-aggregated count (so there are at most H of
-    them, which bounds the broadcast), their rows in ``big`` are spread over salts, and only those
-    keys of ``small`` are repeated, once per salt.
+    A ``small`` of checked size is broadcast. Otherwise the rows of heavy keys in ``big`` are spread
+    over salts, and only those keys of ``small`` are repeated, once per salt.
     """
     if size_in_bytes(small) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), key, how)
-    parts = task_count(big.sparkSession)
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    hot = (
-        counts.crossJoin(F.broadcast(total))
-        .filter(F.col("_n") * parts > F.col("_all"))
-        .select(key, F.ceil(F.col("_n") * (2 * parts) / F.col("_all")).cast("int").alias("_salts"))
-    )
+    hot = (heavy or HeavyKeys(big)).of(key)
     rest = [c for c in big.columns if c != key]
-    spread = big.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*rest), F.col("_salts")).cast("int")
-        ),
-    )
+    salt = F.pmod(F.xxhash64(*rest), F.col("_salts")).cast("int")
+    spread = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
     copies = small.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     )
