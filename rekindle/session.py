@@ -96,13 +96,14 @@ class HeavyKeys:
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
-              heavy: HeavyKeys | None = None) -> DataFrame:
+              heavy: HeavyKeys | None = None, size: int | None = None) -> DataFrame:
     """Join on ``key`` when ``big`` may hold most of its rows under a few keys and ``small`` has few rows per key.
 
     A ``small`` of checked size is broadcast. Otherwise the rows of heavy keys in ``big`` are spread
-    over salts, and only those keys of ``small`` are repeated, once per salt.
+    over salts, and only those keys of ``small`` are repeated, once per salt. ``size`` is the byte
+    size of ``small`` where the caller has counted it.
     """
-    if size_in_bytes(small) <= BROADCAST_BYTES:
+    if (size_in_bytes(small) if size is None else size) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), key, how)
     hot = (heavy or HeavyKeys(big)).of(key)
     rest = [c for c in big.columns if c != key]
