@@ -19,12 +19,16 @@ def file_format(path: str, requested: str = "auto") -> str:
     raise ValueError(f"Cannot infer format of '{path}'; pass one of {sorted(set(FORMATS.values()))}")
 
 
-def read_file(spark: SparkSession, path: str, format: str = "auto", schema=None) -> DataFrame:
-    """CSV with header, JSON records or lines, or parquet. With a ``schema`` nothing is read twice."""
+def read_file(spark: SparkSession, path: str, format: str = "auto", schema=None, multi_line: bool = True) -> DataFrame:
+    """CSV with header, JSON records or lines, or parquet. With a ``schema`` nothing is read twice.
+
+    CSV fields may hold line breaks; pass ``multi_line=False`` when they do not, so that a large file
+    splits over tasks.
+    """
     kind = file_format(path, format)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if kind == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=True, escape='"')
+        return reader.csv(path, header=True, inferSchema=schema is None, multiLine=multi_line, escape='"')
     if kind == "jsonl":
         return reader.json(path)
     if kind == "json":

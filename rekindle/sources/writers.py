@@ -8,6 +8,6 @@ from pyspark.sql import DataFrame
 def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> dict[str, str]:
     """Write the table as CSV with header and as JSON lines, each a folder of part files."""
     files = {"csv": f"{path.rstrip('/')}.csv", "json": f"{path.rstrip('/')}.json"}
-    df.write.mode(mode).csv(files["csv"], header=True)
+    df.write.mode(mode).csv(files["csv"], header=True, escape='"')
     df.write.mode(mode).json(files["json"])
     return files
