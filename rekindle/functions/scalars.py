@@ -82,8 +82,13 @@ def _six_digits(x: Column) -> Column:
     return F.when(tie, F.signum(x) * F.when(up, down + 1).otherwise(down) / (scale / 10)).otherwise(x)
 
 
-def join_key(c: Column) -> Column:
+def join_key(c: Column, dtype: T.DataType | None = None) -> Column:
     """Text under which ``1``, ``1.0``, `` 1`` and ``001`` are the same key."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
+        return c.cast("string")
+    if isinstance(dtype, T.LongType):  # beyond 2^53 the value is that of the nearest double
+        exact = F.abs(c) <= F.lit(2**53)
+        return F.when(exact, c.cast("string")).otherwise(c.cast("double").try_cast("decimal(38,0)").cast("string"))
     text = F.trim(c.cast("string"))
     number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
     number = F.when(F.abs(number) < F.lit(float("inf")), number)

@@ -10,11 +10,11 @@ from rekindle.session import local_table, materialise
 PART_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+def number_and_count(df: DataFrame, name: str, start: int = 0) -> tuple[DataFrame, int]:
     """Add ``name``: start, start+1, … in the partition order of ``df``.
 
     The row number inside the partition plus one offset per partition; no task sees all rows and
-    the driver sees one count per partition.
+    the driver sees one count per partition, whose sum is the second result.
     """
     placed = materialise(df.withColumn("_at", F.monotonically_increasing_id()))
     offsets, total = [], start
@@ -22,8 +22,13 @@ def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
         offsets.append((row["p"], total - (row["p"] << PART_BITS)))
         total += row["count"]
     shift = local_table(df.sparkSession, offsets, "_part bigint, _shift bigint")
-    return (
+    numbered = (
         placed.join(F.broadcast(shift), F.shiftright("_at", PART_BITS) == F.col("_part"))
         .withColumn(name, (F.col("_at") + F.col("_shift")).cast("int"))
         .drop("_at", "_part", "_shift")
     )
+    return numbered, total - start
+
+
+def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    return number_and_count(df, name, start)[0]

@@ -15,7 +15,7 @@ def test_pair_products(spark, planted, width, rows):
     df, x, _ = planted
     # one user holds a large part of the rows, one item too
     got = {}
-    for r in pair_products(df, "userID", "itemID", "rating", width, rows).collect():
+    for r in pair_products(df, "userID", "itemID", "rating", width, rows).named().collect():
         key = tuple(sorted((r["a"], r["b"])))
         assert key not in got
         got[key] = (r["dot"], r["co"])
