@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 BROADCAST_BYTES = 128 * 1024 * 1024
+FILE_COMPRESSION = 4
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -52,8 +53,8 @@ def discard(df: DataFrame | None) -> None:
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; exact up to compression for a scan of a materialised table."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Optimizer's size estimate; a scan of a materialised table counts with its files, hence the factor."""
+    return FILE_COMPRESSION * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
