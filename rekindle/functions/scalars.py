@@ -104,9 +104,12 @@ def join_key(c: Column, dtype: T.DataType | None = None) -> Column:
     )
 
 
-def split_bucket(user: Column, item: Column) -> Column:
-    """Stable bucket 0..9999 of a pair, the same in every engine that has md5."""
-    head = F.substring(F.md5(F.concat(user, F.lit("|"), item)), 1, 8)
+def split_bucket(user: Column, item: Column, salt: str = "") -> Column:
+    """Stable bucket 0..9999 of a pair, the same in every engine that has md5.
+
+    A second split of one part needs another ``salt``: all its pairs share the old buckets.
+    """
+    head = F.substring(F.md5(F.concat(user, F.lit("|"), item, F.lit(salt))), 1, 8)
     return F.conv(head, 16, 10).cast("bigint") % 10000
 
 

@@ -18,9 +18,9 @@ class Split:
     test: DataFrame
 
 
-def hash_split(df: DataFrame, test_ratio: float = TEST_RATIO) -> Split:
+def hash_split(df: DataFrame, test_ratio: float = TEST_RATIO, salt: str = "") -> Split:
     """Both parts are filters on the same hash, so neither needs a shuffle."""
-    bucket = split_bucket(F.col("userID"), F.col("itemID"))
+    bucket = split_bucket(F.col("userID"), F.col("itemID"), salt)
     cut = int(test_ratio * 10000)
     return Split(df.filter(bucket >= cut), df.filter(bucket < cut))
 
@@ -44,7 +44,7 @@ def check_splittable(df: DataFrame) -> None:
         raise ValueError("Dataset validation failed: only 1 interaction row remained; at least 2 are required")
 
 
-def train_test(df: DataFrame, test_ratio: float = TEST_RATIO) -> Split:
+def train_test(df: DataFrame, test_ratio: float = TEST_RATIO, salt: str = "") -> Split:
     """Validated split without cold test users."""
     check_splittable(df)
-    return drop_cold_users(hash_split(df, test_ratio))
+    return drop_cold_users(hash_split(df, test_ratio, salt))

@@ -181,7 +181,7 @@ def tune(algorithm: str, train: DataFrame, implicit: bool, n_trials: int = AUTO_
     rng = random.Random(seed)
     space = SPACES.get(algorithm, {})
     planned = trials if trials is not None else [draw(space, rng) for _ in range(budget if space else 1)]
-    parts = train_test(train)
+    parts = train_test(train, salt="|validation")
     rows, best, start = [], None, time.time()
     for number, params in enumerate(planned):
         if time.time() - start > seconds:

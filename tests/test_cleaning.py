@@ -76,6 +76,8 @@ def test_split_is_a_partition(spark, planted):
     df = planted[0]
     parts = hash_split(df)
     assert parts.train.count() + parts.test.count() == df.count()
+    again = hash_split(parts.train, salt="|validation")
+    assert 0 < again.test.count() < parts.train.count() / 2
     warm = drop_cold_users(parts)
     known = {r[0] for r in warm.train.select("userID").collect()}
     assert {r[0] for r in warm.test.select("userID").collect()} <= known
