@@ -21,8 +21,8 @@ from rekindle.llm.base import map_rows, ragged, table, texts_of
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-SEGMENT = 1 << 20
+#: about a hundred characters that end before a word mark, after another character: no piece crosses there
+SEGMENT = re.compile(f"(?s).{{64}}{MARK}*[^{MARK}]*|.+")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
@@ -73,8 +73,6 @@ class CharacterMap:
 class Codec:
     """Encoder and decoder of one model file."""
 
-    KEPT = 400_000
-
     def __init__(self, model: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
@@ -115,12 +113,6 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(out), np.uint8)
         self.sizes = np.array([len(x) for x in out])
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self._forget()
-
-    def _forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.flat_widths, self.used = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), 0
 
     # -- normalising ----------------------------------------------------------------------
 
@@ -183,34 +175,6 @@ class Codec:
 
     # -- encoding and decoding ------------------------------------------------------------
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encode new chunks. A key is a chunk without its single leading mark, or a mark and any other chunk."""
-        plain = [k for k in keys if k and k[0] != MARK]
-        other = [k for k in keys if not k or k[0] == MARK]
-        chunks, keys = [MARK + k for k in plain] + [k[1:] if k else MARK for k in other], plain + other
-        groups = ["".join(chunks[i:min(i + 32, len(plain))]) for i in range(0, len(plain), 32)]  # no piece crosses into the next chunk
-        found = self.library.encode(groups + chunks[len(plain):], num_threads=1)
-        ids = np.fromiter(chain.from_iterable(found), np.int32)
-        if self.unknown >= 0 and (ids == self.unknown).any():
-            found = self.library.encode(chunks, num_threads=1)
-            ids = np.fromiter(chain.from_iterable(found), np.int32)
-            widths = np.concatenate([self._widths(c, np.array(f, np.int32)) for c, f in zip(chunks, found)])
-        else:
-            widths = self.widths[ids]
-        limits = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
-        stops = np.searchsorted(np.cumsum(widths), limits, "right")
-        begins = np.concatenate([[0], stops[:-1]])
-        counts = stops - begins
-        at, need = len(self.code), self.used + len(ids)
-        while need > len(self.flat):
-            self.flat, self.flat_widths = np.resize(self.flat, 2 * len(self.flat)), np.resize(self.flat_widths, 2 * len(self.flat))
-        while at + len(chunks) > len(self.begin):
-            self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
-        self.flat[self.used:need], self.flat_widths[self.used:need] = ids, widths
-        self.begin[at:at + len(chunks)], self.count[at:at + len(chunks)] = begins + self.used, counts
-        self.code.update(zip(keys, range(at, at + len(chunks))))
-        self.used = need
-
     def _widths(self, chunk: str, ids: np.ndarray) -> np.ndarray:
         widths = self.widths[ids]
         if self.unknown < 0 or not (ids == self.unknown).any():
@@ -224,44 +188,23 @@ class Codec:
             at += widths[i]
         return widths
 
-    def _ids(self, part: str) -> tuple[np.ndarray, np.ndarray]:
-        if not self.chunked:
-            keys = [MARK + part]
-        elif part[0] == MARK and part[-1] != MARK and MARK + MARK not in part:
-            keys = part[1:].split(MARK)
-        else:
-            keys = [c[1:] if c[0] == MARK and c[1:2] != MARK else MARK + c for c in CHUNK.findall(part)]
-        codes = list(map(self.code.get, keys))
-        if None in codes:
-            self._learn(list({c for c, k in zip(keys, codes) if k is None}))
-            codes = list(map(self.code.get, keys))
-        codes = np.array(codes, np.int64)
-        at = ragged(self.begin[codes], self.count[codes])
-        return self.flat[at], self.flat_widths[at]
+    def _ids(self, normal: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = SEGMENT.findall(normal) if self.chunked else [normal]
+        found = self.library.encode(parts, num_threads=1)
+        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        if self.unknown >= 0 and (ids == self.unknown).any():
+            return ids, np.concatenate([self._widths(p, np.array(f, np.int32)) for p, f in zip(parts, found)])
+        return ids, self.widths[ids]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and begin and end of each piece in bytes of the source text."""
         normal, align = self.normalise(text)
-        ids, widths, at = [], [], 0
-        while at < len(normal):  # segments end where a chunk ends
-            stop = at + SEGMENT
-            while self.chunked and stop < len(normal):
-                stop = normal.find(MARK, stop)
-                if stop < 0 or normal[stop - 1] != MARK:
-                    break
-                stop += 1
-            stop = len(normal) if stop < 0 or not self.chunked else stop
-            i, w = self._ids(normal[at:stop])
-            ids.append(i)
-            widths.append(w)
-            at = stop
-            if len(self.code) > self.KEPT:
-                self._forget()
-        if not ids:
+        if not normal:
             return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ends = np.cumsum(np.concatenate(widths), dtype=np.int64)
+        ids, widths = self._ids(normal)
+        ends = np.cumsum(widths, dtype=np.int64)
         begins = np.concatenate([[0], ends[:-1]])
-        return np.concatenate(ids), align[begins], align[ends]
+        return ids, align[begins], align[ends]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; the space that encoding put before the text goes, byte pieces join to characters."""
@@ -275,7 +218,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     """doc_id, ids, begins, ends of each row: piece ids and their byte spans in the source text.
 
     Null and empty texts have no pieces. Other columns are ignored, repeated rows are encoded each, an empty table gives an
-    empty table. Texts are encoded whole; long ones in segments that end between pieces. ``model`` is the path of a
+    empty table. Texts are encoded whole. ``model`` is the path of a
     BPE or unigram model file that every executor has.
     """
     path = model or default_model()
