@@ -12,12 +12,13 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from rekindle.llm.base import map_rows, ragged, table, texts_of
+from rekindle.llm.base import map_rows, pieces_of, ragged, table, texts_of
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -188,24 +189,32 @@ class Codec:
             at += widths[i]
         return widths
 
-    def _ids(self, normal: str) -> tuple[np.ndarray, np.ndarray]:
-        parts = SEGMENT.findall(normal) if self.chunked else [normal]
-        found = self.library.encode(parts, num_threads=1)
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its ids, and begin and end of each piece in bytes of the source text.
+
+        Texts go to the library in groups of half a million characters (or one text), as short segments.
+        """
+        for group in pieces_of(texts, 500_000):
+            normal = [self.normalise(t) for t in texts[group]]
+            parts = [SEGMENT.findall(n) if self.chunked else [n] * bool(n) for n, _ in normal]
+            found = iter(self.library.encode(list(chain.from_iterable(parts)), num_threads=1))
+            for (_, align), own in zip(normal, parts):
+                yield self._placed(own, list(islice(found, len(own))), align)
+
+    def _placed(self, parts: list[str], found: list[list[int]], align: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.fromiter(chain.from_iterable(found), np.int32)
+        if not len(ids):
+            return ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        widths = self.widths[ids]
         if self.unknown >= 0 and (ids == self.unknown).any():
-            return ids, np.concatenate([self._widths(p, np.array(f, np.int32)) for p, f in zip(parts, found)])
-        return ids, self.widths[ids]
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and begin and end of each piece in bytes of the source text."""
-        normal, align = self.normalise(text)
-        if not normal:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids, widths = self._ids(normal)
+            widths = np.concatenate([self._widths(p, np.array(f, np.int32)) for p, f in zip(parts, found)])
         ends = np.cumsum(widths, dtype=np.int64)
         begins = np.concatenate([[0], ends[:-1]])
         return ids, align[begins], align[ends]
 
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return next(self.encode_all([text]))
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; the space that encoding put before the text goes, byte pieces join to characters."""
         raw = self.bytes[ragged(self.starts[ids], self.sizes[ids])].tobytes()
@@ -227,7 +236,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         codec = Codec(path)
 
         def work(batch):
-            done = [codec.encode(t) for t in batch.column("text").to_pylist()]
+            done = list(codec.encode_all(batch.column("text").to_pylist()))
             yield {"doc_id": batch.column("doc_id"), "ids": [d[0] for d in done], "begins": [d[1] for d in done], "ends": [d[2] for d in done]}
 
         return work
@@ -264,8 +273,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
 
         def work(batch):
             out = {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "covered_bytes": [], "spans_crc32": []}
-            for text in batch.column("text").to_pylist():
-                ids, begins, ends = codec.encode(text)
+            for ids, begins, ends in codec.encode_all(batch.column("text").to_pylist()):
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(",".join(names[ids]).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
