@@ -96,8 +96,8 @@ WITH u AS (
 ), rules(h, w, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (
   SELECT page_id, host, path, h || w AS rule, v,
-         row_number() OVER (PARTITION BY host, path, page_id ORDER BY length(h || w) DESC) AS at
+         row_number() OVER (PARTITION BY host, path, page_id ORDER BY length(h || w) DESC) AS rn
   FROM p LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, w)
 )
-SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE at = 1
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE rn = 1
 """
