@@ -24,15 +24,23 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
     """``mapInArrow`` whose state is made once per task: ``make()`` returns batch -> column dicts.
 
-    ``schema`` is a DDL string. Each dict holds one list or array per output column.
+    ``schema`` is a DDL string. Each dict holds one list or array per output column. ``make`` may return a
+    second function, which gives the last column dicts after all batches.
     """
     target = to_arrow_schema(_parse_datatype_string(schema))
 
+    def rows(out):
+        return pa.RecordBatch.from_arrays([as_arrow(out[f.name], f.type) for f in target], schema=target)
+
     def run(batches):
-        work = make()
+        made = make()
+        work, end = made if isinstance(made, tuple) else (made, None)
         for batch in batches:
             for out in work(batch):
-                yield pa.RecordBatch.from_arrays([as_arrow(out[f.name], f.type) for f in target], schema=target)
+                yield rows(out)
+        if end:
+            for out in end():
+                yield rows(out)
 
     return df.mapInArrow(run, schema)
 
