@@ -1,12 +1,12 @@
 """Registered queries of this package, and their SQL where SQL can express them."""
 
-from rekindle.llm import chat, fingerprints, language, packing, pieces, secrets, urls
+from rekindle.llm import chat, fingerprints, language, nearest, packing, pieces, secrets, similar, urls
 
 QUERIES = {
     f.__name__: f
     for f in (
-        pieces.op1_sentencepiece, chat.op3_chat, fingerprints.op5_fingerprints, language.op6_language, secrets.op8_secrets,
+        pieces.op1_sentencepiece, chat.op3_chat, nearest.op4_nearest, fingerprints.op5_fingerprints, language.op6_language, similar.op7_jaccard, secrets.op8_secrets,
         urls.op9_urls, packing.op10_packing,
     )
 }
-STATEMENTS = {"op3_chat": chat.SQL, "op9_urls": urls.SQL}
+STATEMENTS = {"op3_chat": chat.SQL, "op4_nearest": nearest.SQL, "op9_urls": urls.SQL}
