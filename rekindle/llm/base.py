@@ -45,6 +45,29 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+    """Batches of ``df`` to batches of the same columns; ``make()`` is called once per task."""
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            yield work(batch)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_texts(batch: pa.RecordBatch, texts: list[str | None], text_col: str = "text", chars_col: str = "n_chars") -> pa.RecordBatch:
+    """``batch`` with new texts and, if it has that column, their lengths in code points."""
+    new = {text_col: texts, chars_col: [None if t is None else len(t) for t in texts]}
+    arrays = [pa.array(new[f.name], type=f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+
+def small_enough(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` hinted for a broadcast if its counted rows (a few numbers each) are few, else unchanged."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

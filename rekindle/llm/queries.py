@@ -1,11 +1,11 @@
 """Registered queries of this package, and their SQL where SQL can express them."""
 
-from rekindle.llm import chat, fingerprints, language, nearest, packing, pieces, secrets, similar, urls
+from rekindle.llm import chat, fingerprints, language, nearest, packing, pieces, repeats, secrets, similar, urls
 
 QUERIES = {
     f.__name__: f
     for f in (
-        pieces.op1_sentencepiece, chat.op3_chat, nearest.op4_nearest, fingerprints.op5_fingerprints, language.op6_language, similar.op7_jaccard, secrets.op8_secrets,
+        pieces.op1_sentencepiece, repeats.op2_repeats, chat.op3_chat, nearest.op4_nearest, fingerprints.op5_fingerprints, language.op6_language, similar.op7_jaccard, secrets.op8_secrets,
         urls.op9_urls, packing.op10_packing,
     )
 }

@@ -23,6 +23,7 @@ RUN = 16  # shortest run that can hold an access key, a hexadecimal or a long st
 LEARN = 8  # shortest run of an ordinary identifier
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SIZE = len(ALPHABET) + 1
+THRESHOLD = 0.5
 CODE = np.zeros(256, np.uint8)
 CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(1, SIZE)
 
@@ -134,7 +135,7 @@ def find(raw: bytes, ratio: np.ndarray | None, threshold: float) -> tuple[list[t
     return spans, data
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, model: np.ndarray | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, model: np.ndarray | None = None) -> DataFrame:
     """doc_id, text, kinds, starts, ends: all secrets of each document, in code points, ordered by start and kind.
 
     ``threshold`` is the log-likelihood ratio per character above which a run of 20 or more characters counts.
@@ -160,20 +161,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     return map_rows(docs, make, "doc_id bigint, text string, kinds array<string>, starts array<bigint>, ends array<bigint>")
 
 
+def masked(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
+    """``text`` with ``mark`` for each span; overlapping spans, in order of start, are replaced together."""
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The scanned rows with each secret replaced by ``mark``; overlapping spans are replaced together."""
+    """doc_id, text of the scanned rows with each secret replaced by ``mark``."""
 
     def make():
         def work(batch):
-            texts = []
-            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends"))):
-                out, at = [], 0
-                for a, b in zip(starts, ends):
-                    if a >= at:
-                        out += [text[at:a], mark]
-                    at = max(at, b)
-                texts.append("".join(out) + text[at:])
-            yield {"doc_id": batch.column("doc_id"), "text": texts}
+            columns = (batch.column(c).to_pylist() for c in ("text", "starts", "ends"))
+            yield {"doc_id": batch.column("doc_id"), "text": [masked(t, list(zip(a, b)), mark) for t, a, b in zip(*columns)]}
 
         return work
 
