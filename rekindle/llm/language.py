@@ -25,11 +25,13 @@ UNKNOWN = "und"
 
 @dataclass
 class Model:
-    """Languages, and log frequencies per language of words and n-grams (``^`` and ``$`` mark the ends of a word)."""
+    """Languages, and rows of log frequencies per language of words and n-grams (``^`` and ``$`` mark the ends of a word)."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    word_logs: np.ndarray
+    grams: dict[str, int]
+    gram_logs: np.ndarray
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -67,15 +69,24 @@ def _count_grams(words: DataFrame) -> DataFrame:
     return map_rows(words, make, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def _logs(rows: list, languages: list[str], group) -> dict[str, np.ndarray]:
+def _most_frequent(counts: DataFrame, n: int) -> list[tuple[str, str, int]]:
+    found = counts.orderBy(F.desc("n"), "lang", "key").limit(n).select("lang", "key", "n").toArrow()
+    return list(zip(*(found.column(c).to_pylist() for c in ("lang", "key", "n"))))
+
+
+def _logs(rows: list, languages: list[str], group) -> tuple[dict[str, int], np.ndarray]:
     """Log of (n + 1/2) over the language's total within each group of keys (all words; n-grams of one length)."""
     at = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    totals: dict = {}
+    index: dict[str, int] = {}
+    for _, key, _ in rows:
+        index.setdefault(key, len(index))
+    counts = np.zeros((len(index), len(languages)))
     for lang, key, n in rows:
-        counts.setdefault(key, np.zeros(len(languages)))[at[lang]] += n
-        totals.setdefault(group(key), np.full(len(languages), 1.0))[at[lang]] += n
-    return {key: np.log((c + 0.5) / totals[group(key)]) for key, c in counts.items()}
+        counts[index[key], at[lang]] = n
+    groups = np.fromiter(map(group, index), np.int64, len(index))
+    totals = np.ones((int(groups.max(initial=0)) + 1, len(languages)))
+    np.add.at(totals, groups, counts)
+    return index, np.log((counts + 0.5) / totals[groups]).astype(np.float32)
 
 
 def train(labelled: DataFrame, sample_rows: int = 40_000, max_words: int = 100_000, max_grams: int = 150_000) -> Model:
@@ -91,56 +102,60 @@ def train(labelled: DataFrame, sample_rows: int = 40_000, max_words: int = 100_0
         share = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30))
         labelled = labelled.filter(share)
     words = materialise(_count_words(labelled))
-    top = words.orderBy(F.desc("n"), "lang", "key").limit(max_words).collect()
-    grams = _count_grams(words).orderBy(F.desc("n"), "lang", "key").limit(max_grams).collect()
+    top = _most_frequent(words, max_words)
+    grams = _most_frequent(_count_grams(words), max_grams)
     discard(words)
-    languages = sorted({r["lang"] for r in top})
+    languages = sorted({lang for lang, _, _ in top})
     known = set(languages)
-    return Model(languages, _logs(top, languages, lambda k: 0), _logs([g for g in grams if g["lang"] in known], languages, len))
+    return Model(languages, *_logs(top, languages, lambda k: 0), *_logs([g for g in grams if g[0] in known], languages, len))
 
 
-class Scorer(dict):
-    """word -> row of the score matrix; a word that is met first is scored by its n-grams and kept."""
+class Scorer:
+    """Scores texts; words that the model does not hold are scored by their n-grams once and kept for a while."""
 
-    KEPT = 300_000
+    KEPT = 200_000
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-        self.rows = np.zeros((1 << 16, max(1, len(model.languages))))
-        self.base = len(model.words)
-        for word, logs in model.words.items():
-            self._add(word, logs)
-
-    def _add(self, word: str, logs) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = logs
-        self[word] = at
-        return at
-
-    def __missing__(self, word: str) -> int:
-        return self._add(word, self.backoff(word))
-
-    def backoff(self, word: str):
-        for n in range(LONGEST, 0, -1):
-            known = [self.model.grams[g] for g in grams_of(word, n) if g in self.model.grams]
-            if known:
-                return np.mean(known, axis=0)
-        return 0.0
-
-    def trim(self) -> None:
-        if len(self) > self.base + self.KEPT:
-            for word in list(self)[self.base:]:
-                del self[word]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index = dict(self.model.words)
+        self.rows = self.model.word_logs
+
+    def _learn(self, words: list[str]) -> None:
+        flat, counts, grams = [], [], self.model.grams
+        for word in words:
+            known: list[int] = []
+            for n in range(min(LONGEST, len(word) + 2), 0, -1):
+                known = [grams[g] for g in grams_of(word, n) if g in grams]
+                if known:
+                    break
+            flat += known
+            counts.append(len(known))
+        counts = np.array(counts)
+        logs = np.zeros((len(words), self.rows.shape[1]), np.float32)
+        some = np.flatnonzero(counts)
+        if len(some):
+            starts = (np.cumsum(counts) - counts)[some]
+            logs[some] = np.add.reduceat(self.model.gram_logs[flat], starts, axis=0) / counts[some, None]
+        size = len(self.index)
+        if size + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(words) + (1 << 15), self.rows.shape[1]), np.float32)])
+        self.rows[size:size + len(words)] = logs
+        self.index.update(zip(words, range(size, size + len(words))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.model.languages or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.rows[at].sum(axis=0)
+        if len(self.index) > len(self.model.words) + self.KEPT:
+            self._forget()
+        missing = [w for w in set(words) if w not in self.index]
+        if missing:
+            self._learn(missing)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        total = self.rows[at].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())  # ties: the first language in order of name
         return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
 
@@ -161,7 +176,6 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             told = []
             for text in texts.to_pylist():
                 told.append(scorer.predict(text))
-                scorer.trim()
             yield {"doc_id": batch.column("doc_id"), "text": texts, "lang_pred": [t[0] for t in told], "score": [t[1] for t in told]}
 
         return work
