@@ -59,7 +59,8 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarra
         score = np.empty(len(row))
         for s in range(0, len(row), 1 << 15):
             part = slice(s, s + (1 << 15))
-            score[part] = (queries[at + row[part]] * vectors[col[part]]).sum(axis=1)
+            # added up from left to right, as a plain loop does
+            score[part] = np.add.accumulate(queries[at + row[part]] * vectors[col[part]], axis=1)[:, -1]
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row, "left")

@@ -111,6 +111,8 @@ class Codec:
             widths.append(1 if p.type == BYTE else len(raw))
         self.widths = np.array(widths)  # bytes of normalised text; an unknown piece is set per chunk
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN), -1)
+        self.mark = next((i for i, p in enumerate(proto.pieces) if p.piece == MARK), -1)
+        self.raw_space = {i for i, p in enumerate(proto.pieces) if p.type == BYTE and p.piece == "<0x20>"}
         self.bytes = np.frombuffer(b"".join(out), np.uint8)
         self.sizes = np.array([len(x) for x in out])
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -218,7 +220,12 @@ class Codec:
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; the space that encoding put before the text goes, byte pieces join to characters."""
         raw = self.bytes[ragged(self.starts[ids], self.sizes[ids])].tobytes()
-        if (self.prefix or self.squeeze) and raw.startswith(b" "):
+        marks = 0
+        if self.squeeze:  # pieces that are one mark also go while nothing precedes them
+            while marks < len(ids) and ids[marks] == self.mark:
+                marks += 1
+        raw = raw[marks:]
+        if (self.prefix or self.squeeze) and raw.startswith(b" ") and ids[marks] not in self.raw_space:
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 

@@ -107,8 +107,10 @@ def train(docs: DataFrame) -> np.ndarray | None:
         counts[row["label"], row["pair"]] = row["n"]
     if not counts.sum(axis=1).all():
         return None
-    p = (counts + 0.5).reshape(2, SIZE, SIZE)
-    p = np.log(p / p.sum(axis=2, keepdims=True))
+    pairs = counts.reshape(2, SIZE, SIZE)
+    single = pairs.sum(axis=1, keepdims=True) + 0.5
+    single /= single.sum(axis=2, keepdims=True)  # a rare context falls back to the frequency of the character
+    p = np.log((pairs + 5 * single) / (pairs.sum(axis=2, keepdims=True) + 5))
     return p[0] - p[1]
 
 
