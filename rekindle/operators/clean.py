@@ -105,18 +105,19 @@ def k_core(df: DataFrame, min_user: int = 3, min_item: int = 3) -> CoreResult:
     gone_users = gone_items = rounds = 0
     while True:
         rounds += 1
-        weak_users = _weak(pairs, "userID", min_user)
+        weak_users = materialise(_weak(pairs, "userID", min_user))
         kept = pairs.join(weak_users, "userID", "left_anti") if min_user > 1 else pairs
-        weak_items = _weak(kept, "itemID", min_item)
+        weak_items = materialise(_weak(kept, "itemID", min_item))
         after = materialise(kept.join(weak_items, "itemID", "left_anti") if min_item > 1 else kept)
         left = after.count()
+        gone = (weak_users.count(), weak_items.count())
+        discard(weak_users)
+        discard(weak_items)
         if left == n_rows:
             discard(pairs)
             break
-        weak = weak_users.select(F.lit("u").alias("side")).union(weak_items.select(F.lit("i")))
-        gone = {r["side"]: r["count"] for r in weak.groupBy("side").count().collect()}
-        gone_users += gone.get("u", 0)
-        gone_items += gone.get("i", 0)
+        gone_users += gone[0]
+        gone_items += gone[1]
         discard(pairs)
         pairs, n_rows = after, left
     return CoreResult(df.join(after, ["userID", "itemID"], "left_semi"), gone_users, gone_items, rounds)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rekindle.catalogue import CATALOGUE, incompatibility, primary_metric
-from rekindle.operators import downsample, evaluate, leaderboard
+from rekindle.operators import evaluate, leaderboard
 from rekindle.operators.clean import matrix_stats
 from rekindle.operators.split import Split, train_test
 from rekindle.operators.topk import target_users
@@ -22,7 +22,7 @@ from rekindle.session import local_table
 
 RUN_SCHEMA = (
     "experiment_id string, algorithm string, skipped boolean, skip_reason string, failed boolean, error string, "
-    "elapsed_s double, sampled boolean, scalability double, RMSE double, MAE double, precision_at_k double, "
+    "elapsed_s double, scalability double, RMSE double, MAE double, precision_at_k double, "
     "recall_at_k double, ndcg_at_k double, map_at_k double, metric double"
 )
 TRIAL_SCHEMA = (
@@ -54,7 +54,6 @@ TRIALS = {"SVD": 20, "SVD++": 20, "NMF": 25, "ALS": 20, "BPR": 15, "Ecommerce-Po
           "Content-Based TF-IDF": 12, "Factorization Machines": 15}
 DEFAULT_TRIALS = 20
 AUTO_TRIALS = -1
-TUNING_SECONDS = 600.0
 METRIC_COLUMN = {"RMSE": "RMSE", "NDCG@K": "ndcg_at_k"}
 
 
@@ -64,7 +63,6 @@ class Benchmark:
     mode: str
     metric: str
     direction: str
-    sampled: bool
 
     def leaderboard(self) -> DataFrame:
         done = self.runs.filter("not skipped and not failed")
@@ -77,21 +75,6 @@ class Benchmark:
         return leaderboard.serving_choice(self.selection(), shortlist)
 
 
-def maybe_downsample(parts: Split, mode: str, force_all: bool = False) -> tuple[Split, bool]:
-    """The densest part of the data when a size limit of the catalogue would block an algorithm."""
-    sizes = matrix_stats(parts.train).first()
-    blocked = any(
-        not incompatibility(e, mode)
-        and ((e.max_users or math.inf) < sizes["n_users"] or (e.max_items or math.inf) < sizes["n_items"])
-        for e in CATALOGUE.values()
-    )
-    users, items = downsample.FORCED_SIZE if force_all else downsample.NORMAL_SIZE
-    if not blocked or (users >= sizes["n_users"] and items >= sizes["n_items"]):
-        return parts, False
-    train = downsample.densest(parts.train, users, items)
-    return Split(train, downsample.follow(parts.test, train)), True
-
-
 def score_model(name: str, parts: Split, top_k: int, params: dict) -> dict:
     """Metrics of one fitted algorithm as a dict."""
     model = fit(name, parts.train, **params)
@@ -101,7 +84,7 @@ def score_model(name: str, parts: Split, top_k: int, params: dict) -> dict:
 
 
 def run_benchmark(parts: Split, mode: str, algorithms: list[str] | None = None, top_k: int = 10,
-                  params: dict[str, dict] | None = None, both_is_universal: bool = False, sample: bool = False,
+                  params: dict[str, dict] | None = None, both_is_universal: bool = False,
                   experiment_id: str | None = None) -> Benchmark:
     """One row per algorithm; an incompatible one is skipped and an error becomes a failed row."""
     if top_k not in (5, 10):
@@ -109,16 +92,13 @@ def run_benchmark(parts: Split, mode: str, algorithms: list[str] | None = None,
     spark = parts.train.sparkSession
     experiment_id = experiment_id or uuid.uuid4().hex[:12]
     metric, direction = primary_metric(mode)
-    sampled = False
-    if sample:
-        parts, sampled = maybe_downsample(parts, mode)
     sizes = matrix_stats(parts.train).first()
     rows = []
     for name in algorithms or list(CATALOGUE):
         entry = CATALOGUE[name]
         reason = incompatibility(entry, mode, both_is_universal)
         if reason:
-            rows.append((experiment_id, name, True, reason, False, "", 0.0, sampled, 0.0) + (None,) * 7)
+            rows.append((experiment_id, name, True, reason, False, "", 0.0, 0.0) + (None,) * 7)
             continue
         score = leaderboard.scalability_score(
             F.lit(entry.scalability), F.lit(float(sizes["n_users"])), F.lit(float(sizes["n_items"])),
@@ -131,9 +111,9 @@ def run_benchmark(parts: Split, mode: str, algorithms: list[str] | None = None,
         except Exception as e:  # noqa: BLE001 - a failing algorithm is a result
             found, failed, error = {}, True, str(e)[:500]
         values = tuple(found.get(c) for c in ("RMSE", "MAE", "precision_at_k", "recall_at_k", "ndcg_at_k", "map_at_k"))
-        rows.append((experiment_id, name, False, "", failed, error, round(time.time() - start, 2), sampled, scale,
+        rows.append((experiment_id, name, False, "", failed, error, round(time.time() - start, 2), scale,
                      *values, found.get(METRIC_COLUMN[metric])))
-    return Benchmark(local_table(spark, rows, RUN_SCHEMA), mode, metric, direction, sampled)
+    return Benchmark(local_table(spark, rows, RUN_SCHEMA), mode, metric, direction)
 
 
 def draw(space: dict, rng: random.Random) -> dict:
@@ -163,7 +143,7 @@ def grid(space: dict, points: int = 3) -> list[dict]:
 
 
 def tune(algorithm: str, train: DataFrame, implicit: bool, n_trials: int = AUTO_TRIALS, top_k: int = 10, seed: int = 42,
-         seconds: float = TUNING_SECONDS, trials: list[dict] | None = None) -> tuple[dict, DataFrame]:
+         trials: list[dict] | None = None) -> tuple[dict, DataFrame]:
     """Seeded random search on a validation split of ``train``; returns the result and the trial table."""
     spark = train.sparkSession
     metric, direction = primary_metric("implicit" if implicit else "explicit")
@@ -184,8 +164,6 @@ def tune(algorithm: str, train: DataFrame, implicit: bool, n_trials: int = AUTO_
     parts = train_test(train, salt="|validation")
     rows, best, start = [], None, time.time()
     for number, params in enumerate(planned):
-        if time.time() - start > seconds:
-            break
         began, value, error = time.time(), None, ""
         try:
             value = score_model(algorithm, parts, top_k, params).get(METRIC_COLUMN[metric])

@@ -181,9 +181,21 @@ def coalesce_columns(spark: SparkSession, folder: str) -> DataFrame:
     customer = tables.read(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(
         F.min("c_name").alias("label"), F.count(F.lit(1)).alias("customers")
     )
-    frames, maps = assemble.separate_names([("nation", nation), ("customer", customer)], ["nation"])
-    merged = assemble.outer_merge(*[assemble.normalise_keys(f, ["nation"]) for f in frames], ["nation"])
-    return assemble.coalesce_requested(merged, ["label"], maps, ["nation"])
+    layout = assemble.Layout([("nation", nation.columns), ("customer", customer.columns)], ["nation"], ["label"])
+    frames = [layout.renamed(i, df) for i, df in enumerate((nation, customer))]
+    return layout.coalesced(assemble.outer_merge(*[assemble.normalise_keys(f, ["nation"]) for f in frames], ["nation"]))
+
+
+@query
+def output_order(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines with two sources that share a column: roles first, then the requested column, then the rest."""
+    lines = tables.read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("string").alias("segment"), "l_quantity")
+    orders = tables.read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"), F.col("o_orderpriority").alias("segment"))
+    frames = [("lines", lines.withColumnsRenamed({"l_partkey": "product_id", "l_quantity": "rating"}), {}), ("orders", orders, {})]
+    out = assemble.assemble_interactions(frames, ["l_orderkey"], ["segment"])
+    position = F.lit(",".join(out.columns))
+    return out.withColumn("column_order", position)
 
 
 @query

@@ -331,6 +331,11 @@ select distinct c."userID", c."itemID", c.rating, c.timestamp, c.l_orderkey, c.c
          o.o_orderdate as timestamp, coalesce(l.l_orderkey, o.o_orderkey)::varchar as l_orderkey, cu.c_mktsegment
   from lineitem l full outer join orders o on l.l_orderkey = o.o_orderkey
   full outer join customer cu on cu.c_custkey = o.o_custkey) c""",
+    "output_order": """
+select distinct o.o_custkey as "userID", l.l_partkey as "itemID", l.l_quantity as rating,
+       coalesce(l.l_linenumber::varchar, o.o_orderpriority) as segment, coalesce(l.l_orderkey, o.o_orderkey)::varchar as l_orderkey,
+       'userID,itemID,rating,segment,l_orderkey' as column_order
+from lineitem l full outer join orders o on l.l_orderkey = o.o_orderkey""",
     "flatten_props": "select event_id, user_id, json_extract_string(props, '$.k')::bigint as props_k from events",
     "popularity_topk": f"""{ORDERS}, {POPULAR}, scores as (select "userID", "itemID", score from targets, popular) {top_unseen('scores')}""",
     "eval_explicit": f"""{ORDERS}, means as (select "itemID", avg(rating) as p from train group by 1)

@@ -20,9 +20,10 @@ def file_format(path: str, requested: str = "auto") -> str:
 
 
 def read_file(spark: SparkSession, path: str, format: str = "auto", schema=None, multi_line: bool = True) -> DataFrame:
-    """CSV with header, JSON records or lines, or parquet. With a ``schema`` nothing is read twice.
+    """CSV with header, JSON, JSON lines, or parquet. With a ``schema`` nothing is read twice.
 
-    CSV fields may hold line breaks; pass ``multi_line=False`` when they do not, so that a large file
+    ``json`` files hold one array or one record each, over any number of lines; ``jsonl`` files hold a record per
+    line and split over tasks. The caller or the file ending says which; no file is guessed from another. CSV fields may hold line breaks; pass ``multi_line=False`` when they do not, so that a large file
     splits over tasks.
     """
     kind = file_format(path, format)
@@ -32,10 +33,7 @@ def read_file(spark: SparkSession, path: str, format: str = "auto", schema=None,
     if kind == "jsonl":
         return reader.json(path)
     if kind == "json":
-        # a file with one record per line splits across tasks; only an array needs multiLine
-        head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-        is_array = not head or head[0][0].lstrip()[:1] == "[" or not head[0][0].rstrip().endswith("}")
-        return reader.json(path, multiLine=is_array)
+        return reader.json(path, multiLine=True)
     if kind == "parquet":
         return reader.parquet(path)
     raise ValueError(f"Unsupported format '{kind}'. Choose from: {sorted(set(FORMATS.values()))}")

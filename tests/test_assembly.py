@@ -33,9 +33,9 @@ def test_no_common_key(spark):
 def test_names_are_separated(spark):
     a = spark.createDataFrame([(1, 2, 3)], "k int, v int, b_v int")
     b = spark.createDataFrame([(1, 4)], "k int, v int")
-    frames, maps = assemble.separate_names([("A-1", a), ("b", b)], ["k"])
-    assert frames[0].columns == ["k", "a_1_v", "b_v"] and frames[1].columns == ["k", "b_v_2"]
-    assert maps[1]["v"] == "b_v_2"
+    layout = assemble.Layout([("A-1", a.columns), ("b", b.columns)], ["k"], ["v"])
+    assert layout.renamed(0, a).columns == ["k", "a_1_v", "b_v"] and layout.renamed(1, b).columns == ["k", "b_v_2"]
+    assert layout.of[1]["v"] == "b_v_2" and layout.copies["v"] == ["a_1_v", "b_v_2"]
 
 
 @pytest.mark.parametrize("left,right,name", [("userID", "x", "userID"), ("x", "itemID", "itemID"), ("id", "user_id", "user_id"),
@@ -60,9 +60,14 @@ def test_files_round_trip(spark, tmp_path):
     back = readers.read_file(spark, files["json"], "jsonl", schema="x int, y string")
     assert {tuple(r) for r in back.collect()} == {(1, "a,\"b\"\nc"), (2, None)}
     (tmp_path / "array.json").write_text('[{"a": 1},\n {"a": 2}]')
-    (tmp_path / "lines.json").write_text('{"a": 1}\n{"a": 2}\n')
-    for name in ("array.json", "lines.json"):
+    (tmp_path / "lines.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    for name in ("array.json", "lines.jsonl"):
         assert readers.read_file(spark, str(tmp_path / name)).count() == 2
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    (mixed / "a.json").write_text('{"a":\n 1}')
+    (mixed / "b.json").write_text('[{"a": 2}, {"a": 3}]')
+    assert sorted(r.a for r in readers.read_file(spark, str(mixed), "json").collect()) == [1, 2, 3]
     with pytest.raises(ValueError):
         readers.file_format("x.xlsx")
     again = readers.read_source(spark, "json", {"path": files["json"]}, "x = 2")
