@@ -24,6 +24,7 @@ from rekindle.operators import (
     neighbours,
     popularity,
     registry,
+    roles,
     serving,
     split,
 )
@@ -212,6 +213,15 @@ def assembled_dataset(spark: SparkSession, folder: str) -> DataFrame:
     return assemble.assemble_interactions([(n, df, aliases[n]) for n, df in sources.items()], keys)
 
 
+@query
+def role_detection(spark: SparkSession, folder: str) -> DataFrame:
+    """Distance, penalty, stand-in and evidence of each column in each role."""
+    lines = tables.read(spark, folder, "lineitem").select(*[F.col(c).alias(name) for c, name in tables.ROLE_COLUMNS.items()])
+    scores = roles.role_scores(spark, roles.column_facts(lines))
+    numbers = [F.col(c).cast("bigint").alias(c) for c in ("distance", "penalty", "evidence")]
+    return scores.select("column", "role", *numbers, "stands_in")
+
+
 @query
 def flatten_props(spark: SparkSession, folder: str) -> DataFrame:
     events = tables.read(spark, folder, "events")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from rekindle.catalogue import CATALOGUE
+from rekindle.operators.roles import HINTS
+from rekindle.plans.tables import ROLE_COLUMNS
 
 INTER = """
 inter as materialized (
@@ -331,6 +333,33 @@ select distinct c."userID", c."itemID", c.rating, c.timestamp, c.l_orderkey, c.c
          o.o_orderdate as timestamp, coalesce(l.l_orderkey, o.o_orderkey)::varchar as l_orderkey, cu.c_mktsegment
   from lineitem l full outer join orders o on l.l_orderkey = o.o_orderkey
   full outer join customer cu on cu.c_custkey = o.o_custkey) c""",
+    "role_detection": f"""
+with facts(col, fractional, numeric_, moment, whole, txt, d, f, n) as ({" union all ".join(
+    f"select '{name}', {kind in 'F'}, {kind in 'FI'}, {kind in 'T'}, {kind in 'I'}, {kind in 'S'}, count(distinct {c}), count({c}), count(*) from lineitem"
+    for (c, name), kind in zip(ROLE_COLUMNS.items(), "IIIIFTSS"))}),
+named as (select *, regexp_replace(lower(col), '[_ -]', '', 'g') as flat, regexp_replace(lower(col), '[^a-z0-9]+', '', 'g') as letters,
+  d / greatest(n, 1) as ratio, d / greatest(f, 1) as share from facts),
+hints(role, h) as (values {", ".join(f"('{role}', {[x.replace('_', '') for x in words]})" for role, words in HINTS.items())}),
+met as (select *, list_min(list_transform(h, lambda x: levenshtein(flat, x))) as near, role in ('userID', 'itemID') as ids,
+  flat like '%id' and flat <> 'id' as named_id, regexp_matches(flat, 'type|name|title|date|time|status|action|log|desc|description') as no_id
+  from named, hints)
+select col as "column", role,
+  case when list_contains(h, flat) then 0 when len(list_filter(h, lambda x: contains(flat, x))) > 0 then 1
+       when length(flat) >= 2 and len(list_filter(h, lambda x: contains(x, flat))) > 0 then 2 when near <= 2 then near + 2 end as distance,
+  (case when ids then greatest(0, 4 * no_id::int + 4 * (flat = 'id')::int + 3 * fractional::int - named_id::int
+          + case when d <= 1 then 6 when d = 2 then 5 when d <= 5 then 4 when d <= 10 then 3 else 0 end
+          + case when n <= 50 then 0 when ratio < 0.01 then 5 when ratio < 0.05 then 3 when ratio < 0.10 then 2 else 0 end)
+        when role = 'rating' then 2 * (not numeric_)::int + 4 * (d > 500)::int
+        when moment or regexp_matches(flat, 'time|date|created|updated|timestamp|ts') then 0 else 2 end)::bigint as penalty,
+  case when role = 'rating' then numeric_ and d < 100
+       when ids then named_id and not no_id and not fractional and d >= 10 and (n <= 50 or ratio >= 0.10) else false end as stands_in,
+  case when ids then 160 * regexp_matches(letters, case role when 'userID' then 'user|customer|member|account|client|person|subscriber|owner|employee|patient|buyer'
+            else 'item|product|service|offer|asset|object|content|listing|catalog|sku|article|book|movie|plan|package' end)::int
+         + 35 * regexp_matches(letters, 'id|key|code|ref|uuid|guid|sku')::int - 80 * fractional::int - 90 * (letters = 'id')::int
+         - 120 * regexp_matches(letters, 'time|timestamp|date|created|updated|viewed|purchased|ordered|event|rating|score|stars|grade|value|weight|rank|preference')::int
+         + 55 * (share < 0.98)::int + 20 * (share < 0.9)::int + 10 * (share < 0.5)::int - 60 * (share >= 0.995 and f > 20)::int
+         + 10 * (d between 3 and 500000)::int + 10 * (whole or txt)::int - 10000 * (d < 2)::int end::bigint as evidence
+from met""",
     "output_order": """
 select distinct o.o_custkey as "userID", l.l_partkey as "itemID", l.l_quantity as rating,
        coalesce(l.l_linenumber::varchar, o.o_orderpriority) as segment, coalesce(l.l_orderkey, o.o_orderkey)::varchar as l_orderkey,

@@ -12,6 +12,12 @@ from rekindle.session import materialise
 ORDER_ROLES = Roles("o_custkey", "l_partkey", "l_quantity", "o_orderdate")
 EVENT_ROLES = Roles("user_id", "k", None, "ts")
 
+#: names under which the role detection query reads lineitem
+ROLE_COLUMNS = {
+    "l_suppkey": "memberid", "l_partkey": "item-id", "l_orderkey": "id", "l_linenumber": "score points", "l_quantity": "values",
+    "l_shipdate": "updated", "l_returnflag": "ship_type", "l_linestatus": "sku ref",
+}
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
