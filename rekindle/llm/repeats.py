@@ -12,7 +12,7 @@ that sample's name.
 4. Remaining starts. The other runs of a shared sample, and one run for each repeated name there, list their starts one
    by one under the digest of the whole string. Equal neighbours in the order of the digests are repeats.
 
-Names are digests of 64 bits where they only rule out, of 128 bits where they decide.
+Names are digests: 64 bits where they only rule out, 128 bits (for a run, those of its sample and its whole) where they decide.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rekindle.llm.base import map_rows, table, texts_of
+from rekindle.llm.base import map_rows, small_enough, table, texts_of
 from rekindle.session import materialise
 
 LENGTH, WINDOW = 400, 128
@@ -92,44 +92,53 @@ def settled(high: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.nda
 
 
 def _runs(docs: DataFrame, length: int, window: int) -> DataFrame:
-    """core, s1, s2, key, lo, hi, many of each run. A known repeat gets a core of its own and counts twice."""
+    """core, name, key, lo, size, many of each run (size: starts after the first).
+
+    Runs agree only if both digests do, that of the sample and that of the whole. A known repeat gets a core of its
+    own and counts twice.
+    """
 
     def make():
         def work(batch):
-            core, s1, s2, key, lo, hi = [], [], [], [], [], []
+            core, name, key, lo, size = [], [], [], [], []
             for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 raw = text.encode()
                 if len(raw) < length:
                     continue
                 for a, first, last in runs(raw, length, window):
                     core.append(xxhash.xxh3_64_intdigest(raw[a:a + length - window + 1]))
-                    high, low = halves(xxhash.xxh3_128_intdigest(raw[first:last + length], a - first))
-                    s1.append(high)
-                    s2.append(low)
+                    name.append(xxhash.xxh3_64_intdigest(raw[first:last + length], a - first + 1))
                     key.append(k)
                     lo.append(first)
-                    hi.append(last)
+                    size.append(last - first)
             if not core:
                 return
-            core, s1, s2, key, lo = signed(core), signed(s1), signed(s2), np.array(key, np.int64), np.array(lo, np.int64)
-            many, known = settled(s1, s2, np.ones(len(core), np.int64))
-            own = (key * np.int64(-7046029254386353131)) ^ (lo * np.int64(-4417276706812531889))
-            core, s1, s2 = np.where(known, own, core), np.where(known, key, s1), np.where(known, lo, s2)
-            yield {"core": core, "s1": s1, "s2": s2, "key": key, "lo": lo, "hi": hi, "many": np.where(known, 2, many)}
+            core, name, key, lo = signed(core), signed(name), np.array(key, np.int64), np.array(lo, np.int64)
+            many, known = settled(core, name, np.ones(len(core), np.int64))
+            core, name = np.where(known, own_digest(key, lo), core), np.where(known, key, name)
+            yield {"core": core, "name": name, "key": key, "place": lo << 16 | np.array(size, np.int64) << 2 | np.where(known, 2, many)}
 
         return work
 
-    return map_rows(docs.select("key", "text"), make, "core bigint, s1 bigint, s2 bigint, key bigint, lo bigint, hi bigint, many int")
+    rows = map_rows(docs.select("key", "text"), make, "core bigint, name bigint, key bigint, place bigint")
+    return rows.repartition("core").select(
+        "core", "name", "key", F.shiftright("place", 16).alias("lo"), F.shiftright("place", 2).bitwiseAND(F.lit(0x3FFF)).alias("size"),
+        F.col("place").bitwiseAND(F.lit(3)).alias("many"),
+    )
+
+
+def own_digest(key: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return (key * np.int64(-7046029254386353131)) ^ (lo * np.int64(-4417276706812531889))
 
 
 def _judged(found: DataFrame) -> DataFrame:
     """key, lo, hi, kind of the runs that hold repeats or may (WHOLE, PARTIAL) or whose starts others must see (SHOWN)."""
-    core, name = Window.partitionBy("core"), Window.partitionBy("core", "s1", "s2")
+    core, name = Window.partitionBy("core"), Window.partitionBy("core", "name")
     rows = found.withColumn("same", F.sum("many").over(name)).withColumn("at", F.row_number().over(name.orderBy("key", "lo")))
     rows = rows.withColumn("names", F.sum((F.col("at") == 1).cast("int")).over(core))
     kinds = F.when(F.col("same") > 1, F.when((F.col("names") > 1) & (F.col("at") == 1), F.array(F.lit(WHOLE), F.lit(SHOWN))).otherwise(F.array(F.lit(WHOLE))))
     kinds = kinds.when(F.col("names") > 1, F.array(F.lit(PARTIAL))).otherwise(F.array().cast("array<int>"))
-    return rows.select("key", "lo", "hi", F.explode(kinds).alias("kind"))
+    return rows.select("key", "lo", (F.col("lo") + F.col("size")).alias("hi"), F.explode(kinds).alias("kind"))
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,61 +162,94 @@ def _result(doc_id, raw: bytes, spans: list[tuple[int, int]]) -> dict:
     return {"doc_id": doc_id, "n_bytes": len(raw), "n_removed": sum(b - a for a, b in gone), "n_spans": len(gone), "kept_sha256": kept.hexdigest(), "gone": [x for s in gone for x in s]}
 
 
-FIRST = f"kind int, key bigint, {RESULT}, gone array<bigint>, text string, h1 bigint, h2 bigint, start bigint, many int"
-NAMES = [c.split()[0] for c in FIRST.split(", ")]
+FIRST = f"kind int, key bigint, {RESULT}, gone array<bigint>, text string, told array<struct<lo: bigint, hi: bigint, kind: int>>"
+NAMES = ["kind", "key", *[c.split()[0] for c in RESULT.split(", ")], "gone", "text", "told"]
+FINISHED, OPEN, SEEN = 0, 1, 2
+
+
+def _untouched(docs: DataFrame) -> DataFrame:
+    """Results of documents without any repeat."""
+
+    def make():
+        def work(batch):
+            rows = [_result(i, t.encode(), []) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
+            if rows:
+                yield {c: [r[c] for r in rows] for c in rows[0]}
+
+        return work
+
+    return map_rows(docs.select("doc_id", "text"), make, f"{RESULT}, gone array<bigint>")
 
 
 def _first_look(joined: DataFrame, length: int) -> DataFrame:
-    """Three kinds of rows: 0 finished documents, 1 documents with open starts (text and spans so far), 2 the starts (3: known repeats)."""
+    """FINISHED documents, OPEN ones with their text and spans so far, and texts that others must only see (SEEN)."""
 
     def make():
         def work(batch):
-            rows, starts = [], []
+            rows = []
             for key, doc_id, text, told in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text", "told"))):
-                raw = text.encode()
-                told = told or []
                 spans = [(t["lo"], t["hi"] + length) for t in told if t["kind"] == WHOLE]
-                is_open = any(t["kind"] == PARTIAL for t in told)
-                done = _result(doc_id, raw, spans)
-                rows.append(done | {"kind": int(is_open), "key": key, "text": text if is_open else None})
-                for t in told:
-                    if t["kind"] != WHOLE:
-                        many = 1 if t["kind"] == PARTIAL else 2
-                        starts += [(*halves(xxhash.xxh3_128_intdigest(raw[s:s + length])), key, s, many) for s in range(t["lo"], t["hi"] + 1)]
-            none = dict.fromkeys(NAMES)
+                rest = [t for t in told if t["kind"] != WHOLE]
+                is_open = any(t["kind"] == PARTIAL for t in rest)
+                row = {"key": key, "text": None, "told": None} | _result(doc_id, text.encode(), spans)
+                if is_open:
+                    rows.append(row | {"kind": OPEN, "text": text, "told": rest})
+                    continue
+                rows.append(row | {"kind": FINISHED})
+                if rest:
+                    rows.append(dict.fromkeys(NAMES) | {"kind": SEEN, "key": key, "text": text, "told": rest})
             if rows:
-                yield {c: [(none | r)[c] for r in rows] for c in NAMES}
-            if starts:
-                h1, h2, keys, at, many = zip(*starts)
-                h1, h2, many = signed(h1), signed(h2), np.array(many, np.int64)
-                count, known = settled(h1, h2, many)
-                nothing = [None] * len(h1)
-                yield dict.fromkeys(NAMES, nothing) | {"kind": np.where(known, 3, 2), "key": keys, "h1": h1, "h2": h2, "start": at, "many": count}
+                yield {c: [r[c] for r in rows] for c in NAMES}
 
         return work
 
     return map_rows(joined, make, FIRST)
 
 
+def _starts(texts: DataFrame, length: int) -> DataFrame:
+    """h1, h2 (digest of the string), key, start, many of each start in the told runs; known repeats get a digest of their own."""
+
+    def make():
+        def work(batch):
+            out = []
+            for key, text, told in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "told"))):
+                raw = text.encode()
+                for t in told:
+                    many = 1 if t["kind"] == PARTIAL else 2
+                    out += [(*halves(xxhash.xxh3_128_intdigest(raw[s:s + length])), key, s, many) for s in range(t["lo"], t["hi"] + 1)]
+            if not out:
+                return
+            h1, h2, key, start, many = zip(*out)
+            h1, h2, key, start = signed(h1), signed(h2), np.array(key, np.int64), np.array(start, np.int64)
+            many, known = settled(h1, h2, np.array(many, np.int64))
+            h1, h2 = np.where(known, own_digest(key, start), h1), np.where(known, key, h2)
+            yield {"h1": h1, "h2": h2, "key": key, "place": start << 2 | np.where(known, 2, many)}
+
+        return work
+
+    rows = map_rows(texts, make, "h1 bigint, h2 bigint, key bigint, place bigint").repartition("h1", "h2")
+    return rows.select("h1", "h2", "key", F.shiftright("place", 2).alias("start"), F.col("place").bitwiseAND(F.lit(3)).alias("many"))
+
+
 def _second_look(joined: DataFrame, length: int) -> DataFrame:
     def make():
         def work(batch):
             rows = []
             for doc_id, text, gone, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "gone", "starts"))):
-                spans = list(zip(gone[::2], gone[1::2])) + [(s, s + length) for s in starts or []]
-                rows.append(_result(doc_id, text.encode(), spans) | {"text": text})
+                rows.append(_result(doc_id, text.encode(), list(zip(gone[::2], gone[1::2])) + [(s, s + length) for s in starts or []]))
             if rows:
                 yield {c: [r[c] for r in rows] for c in rows[0]}
 
         return work
 
-    return map_rows(joined, make, f"{RESULT}, gone array<bigint>, text string")
+    return map_rows(joined, make, f"{RESULT}, gone array<bigint>")
 
 
 def release(spark) -> None:
     """Let Spark drop the shuffle files of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
@@ -217,24 +259,24 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated rows too; rows that repeat a doc_id with other texts, or have none, are told apart by their text. Other
     columns are ignored, an empty table gives no rows. ``window`` (at most length - 7) sets the density of the samples.
     """
-    if not 1 <= window <= length - 7:
-        raise ValueError("window must lie between 1 and length - 7")
+    if not 1 <= window <= min(length - 7, 1 << 14):
+        raise ValueError("window must lie between 1 and length - 7, and not above 16384")
     spark = df.sparkSession
     docs = texts_of(df, id_col, text_col)
     once = docs.agg(F.count_distinct("doc_id") == F.count(F.lit(1))).first()[0]
     docs = docs.withColumn("key", F.col("doc_id") if once else F.xxhash64("doc_id", "text"))
-    told = _judged(_runs(docs, length, window)).groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("told"))
-    first = materialise(_first_look(docs.join(told, "key", "left").select("key", "doc_id", "text", "told"), length))
-    del told, docs
+    told = materialise(_judged(_runs(docs, length, window)).groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("told")))
+    release(spark)
+    touched = small_enough(told.select("key"))  # few: only the texts that hold repeats are shuffled
+    first = materialise(_first_look(docs.join(touched, "key", "left_semi").join(told, "key"), length))
     release(spark)
-    starts = first.filter("kind = 2").select("h1", "h2", "key", "start", "many")
+    starts = _starts(first.filter(F.col("kind").isin(OPEN, SEEN)).select("key", "text", "told"), length)
     same = F.sum("many").over(Window.partitionBy("h1", "h2"))
-    repeated = starts.withColumn("same", same).filter("same > 1").select("key", "start")
-    repeated = repeated.unionByName(first.filter("kind = 3").select("key", "start")).groupBy("key").agg(F.collect_list("start").alias("starts"))
-    open_docs = first.filter("kind = 1").select("key", "doc_id", "text", "gone")
+    repeated = starts.withColumn("same", same).filter("same > 1").groupBy("key").agg(F.collect_list("start").alias("starts"))
+    closed = _second_look(first.filter(F.col("kind") == OPEN).select("key", "doc_id", "text", "gone").join(repeated, "key", "left"), length)
     columns = [c.split()[0] for c in RESULT.split(", ")] + ["gone"]
-    closed = _second_look(open_docs.join(repeated, "key", "left"), length)
-    return first.filter("kind = 0").select(*columns).unionByName(closed.select(*columns))
+    quiet = _untouched(docs.join(touched, "key", "left_anti"))
+    return first.filter(F.col("kind") == FINISHED).select(*columns).unionByName(closed).unionByName(quiet)
 
 
 def op2_repeats(spark, folder: str) -> DataFrame:
