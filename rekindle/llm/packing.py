@@ -8,6 +8,7 @@ into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from itertools import chain
@@ -21,6 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from rekindle.llm.base import map_rows, pieces_of, ragged, schema_of, table, texts_of
 
 CHUNK = re.compile(r"[^ \t\n\r]+")
+#: texts in which lower-casing and the split below are the tokenizer's own, and its split of them into words
+PLAIN = re.compile(r"[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
 
@@ -30,13 +34,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Codes(dict):
+    """word -> number, given in order of first use; ``new`` are the words that no ids are known for yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class Words:
-    """Token ids of texts; each distinct run of non-space characters is tokenised once and kept.
+    """Token ids of texts; each distinct word is tokenised once and kept for a while.
 
+    Words are those of the tokenizer's own split where that is sure to be known (plain Latin text), else runs of non-space characters.
     Only for tokenizers that drop white space and never join tokens across it, as word-piece tables with word ends do.
     """
 
-    KEPT = 400_000
+    KEPT = 500_000
 
     def __init__(self, path: str):
         import os
@@ -46,40 +64,44 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        split = json.dumps(json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {})
+        self.known_split = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in split
         self._forget()
 
+    def words(self, text: str) -> list[str]:
+        if self.known_split and "<|" not in text and PLAIN.fullmatch(text):
+            return WORD.findall(text.lower())
+        return CHUNK.findall(text)
+
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, self.width), 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _learn(self) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.code.new, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), self.width, int(counts.sum()))
-        at, need = len(self.code), self.used + len(ids)
+        size, need = len(self.code), self.used + len(ids)
         while need > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        while at + len(chunks) > len(self.begin):
+        while size > len(self.begin):
             self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
         self.flat[self.used:need] = ids
-        self.begin[at:at + len(chunks)], self.count[at:at + len(chunks)] = np.cumsum(counts) - counts + self.used, counts
-        self.code.update(zip(chunks, range(at, at + len(chunks))))
-        self.used = need
+        self.begin[size - len(found):size], self.count[size - len(found):size] = np.cumsum(counts) - counts + self.used, counts
+        self.used, self.code.new = need, []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
         out = []
         for group in pieces_of(texts, 1_000_000):
-            chunks = [CHUNK.findall(t) for t in texts[group]]
             if len(self.code) > self.KEPT:
                 self._forget()
-            missing = set(chain.from_iterable(chunks)).difference(self.code)
-            if missing:
-                self._learn(list(missing))
-            for own in chunks:
-                codes = np.fromiter(map(self.code.__getitem__, own), np.int64, len(own))
-                out.append(self.flat[ragged(self.begin[codes], self.count[codes])])
+            lookup = self.code.__getitem__
+            codes = [np.fromiter(map(lookup, self.words(t)), np.int64) for t in texts[group]]
+            if self.code.new:
+                self._learn()
+            out += [self.flat[ragged(self.begin[c], self.count[c])] for c in codes]
         return out
 
 
