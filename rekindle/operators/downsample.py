@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Users and items kept, and the smaller forced size.
+# Users and items kept.
 NORMAL_SIZE = (10_000, 5_000)
-FORCED_SIZE = (3_000, 2_000)
+BROADCAST_IDS = 1_000_000
 
 
 def _busiest(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -15,9 +15,12 @@ def _busiest(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def densest(df: DataFrame, n_users: int = NORMAL_SIZE[0], n_items: int = NORMAL_SIZE[1]) -> DataFrame:
-    """Rows of the busiest users, then of their busiest items; at most n ids are broadcast."""
-    part = df.join(F.broadcast(_busiest(df, "userID", n_users)), "userID", "left_semi")
-    return part.join(F.broadcast(_busiest(part, "itemID", n_items)), "itemID", "left_semi")
+    """Rows of the busiest users, then of their busiest items; up to a million ids are broadcast."""
+    def kept(rows: DataFrame, key: str, n: int) -> DataFrame:
+        ids = _busiest(rows, key, n)
+        return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, "left_semi")
+
+    return kept(kept(df, "userID", n_users), "itemID", n_items)
 
 
 def follow(test: DataFrame, train: DataFrame) -> DataFrame:
