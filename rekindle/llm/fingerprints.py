@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rekindle.llm.base import map_rows, table, texts_of
 from rekindle.session import local_table, materialise
 
-K, L, M = 12, 2, 16
+K, L, M = 12, 2, 32
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
