@@ -9,4 +9,4 @@ QUERIES = {
         urls.op9_urls, packing.op10_packing,
     )
 }
-STATEMENTS = {"op3_chat": chat.SQL, "op4_nearest": nearest.SQL, "op9_urls": urls.SQL}
+STATEMENTS = {"op3_chat": chat.SQL, "op4_nearest": nearest.SQL, "op7_jaccard": similar.SQL, "op9_urls": urls.SQL}
