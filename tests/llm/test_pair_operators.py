@@ -122,6 +122,7 @@ def test_parity_bound():
         a = np.unique(rng.integers(0, 5000, rng.integers(1, 900)).astype(np.uint64))
         b = np.unique(np.concatenate([rng.choice(a, len(a)), rng.integers(0, 5000, rng.integers(1, 200)).astype(np.uint64)]))
         assert similar.least_different(similar.parity(a), similar.parity(b)) <= len(np.setxor1d(a, b))
+        assert np.bitwise_count(similar.sketch(a).view(np.uint64) ^ similar.sketch(b).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
 
 
 # -- repeats ---------------------------------------------------------------------------------------
