@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from rekindle.llm import language, secrets
+from rekindle.llm import language, secrets, similar
 from tests.llm.test_codec_and_packing import check_packing
 from tests.llm.test_pair_operators import linked_by_hand
 
@@ -102,3 +102,16 @@ def test_language_stage_keeps_what_the_operator_accepts(spark):
     kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").select("doc_id").collect()}
     told = language.predict(docs, language.learn(docs)).collect()
     assert kept == {r.doc_id for r in told if r.lang_pred != "und" and r.score >= 0.5}
+
+
+def test_similar_stage_removes_copies_between_the_two_measures(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+    more = lambda n: [f"x{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows = [
+        (1, " ".join(words)), (2, " ".join(words + more(43))),  # 196 of 239 five-word shingles: 0.820
+        (3, " ".join(words[::-1])), (4, " ".join(words[::-1] + more(55))),  # 196 of 251: 0.781
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in rows], COLUMNS)
+    assert {r.doc_id for r in similar.link(docs).filter("doc_id = component_id").collect()} == {1, 2, 3, 4}
+    assert {k for k, _ in texts(corpus_pipeline.similar_stage(spark, docs, ""))} == {"1", "3", "4"}
