@@ -12,14 +12,17 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rekindle.llm.base import map_rows, table
-from rekindle.session import discard, materialise
+from rekindle.session import discard, local_table, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+HELD = 100_000  # counts that a task holds before it passes them on
 UNKNOWN = "und"
 
 
@@ -41,14 +44,20 @@ def grams_of(word: str, n: int) -> list[str]:
 
 def _count_words(rows: DataFrame) -> DataFrame:
     def make():
+        counts: dict[str, Counter] = {}
+
+        def told():
+            flat = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+            counts.clear()
+            yield {"lang": [f[0] for f in flat], "key": [f[1] for f in flat], "n": [f[2] for f in flat]}
+
         def work(batch):
-            counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 counts.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-            flat = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-            yield {"lang": [f[0] for f in flat], "key": [f[1] for f in flat], "n": [f[2] for f in flat]}
+            if sum(map(len, counts.values())) > HELD:
+                yield from told()
 
-        return work
+        return work, told
 
     return map_rows(rows, make, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
@@ -69,45 +78,83 @@ def _count_grams(words: DataFrame) -> DataFrame:
     return map_rows(words, make, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def _most_frequent(counts: DataFrame, n: int) -> list[tuple[str, str, int]]:
-    found = counts.orderBy(F.desc("n"), "lang", "key").limit(n).select("lang", "key", "n").toArrow()
-    return list(zip(*(found.column(c).to_pylist() for c in ("lang", "key", "n"))))
+def _bucket() -> Column:
+    """Number that grows with a count: exact below 1024, in steps of 0.4 % above."""
+    return F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log(F.col("n") / 1024.0) * 256)).cast("int")
 
 
-def _logs(rows: list, languages: list[str], group) -> tuple[dict[str, int], np.ndarray]:
-    """Log of (n + 1/2) over the language's total within each group of keys (all words; n-grams of one length)."""
-    at = {lang: i for i, lang in enumerate(languages)}
-    index: dict[str, int] = {}
-    for _, key, _ in rows:
-        index.setdefault(key, len(index))
-    counts = np.zeros((len(index), len(languages)))
-    for lang, key, n in rows:
-        counts[index[key], at[lang]] = n
-    groups = np.fromiter(map(group, index), np.int64, len(index))
-    totals = np.ones((int(groups.max(initial=0)) + 1, len(languages)))
-    np.add.at(totals, groups, counts)
-    return index, np.log((counts + 0.5) / totals[groups]).astype(np.float32)
+def _shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Equal parts of ``most``; what a language with fewer keys leaves over goes to the others."""
+    out, left = {}, most
+    for done, lang in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[lang] = min(sizes[lang], left // (len(sizes) - done))
+        left -= out[lang]
+    return out
 
 
-def train(labelled: DataFrame, sample_rows: int = 40_000, max_words: int = 100_000, max_grams: int = 150_000) -> Model:
-    """Model of the rows (id, lang, text) with non-null lang and text.
+def _kept(counts: DataFrame, most: int) -> pa.Table:
+    """lang, key, n of the keys that are frequent enough in some language, in all languages.
 
-    Bounds, all parameters: about ``sample_rows`` rows, chosen by the hash of their id (all rows, if there are
-    fewer), and the most frequent ``max_words`` (language, word) and ``max_grams`` (language, n-gram) counts. They bound
-    what the driver and the tasks hold; words beyond them are scored through their n-grams.
+    Each language gives its most frequent keys within its share of ``most``, and of equally frequent ones all or none.
+    """
+    spans: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("lang", _bucket().alias("b")).agg(F.count(F.lit(1)).alias("keys")).collect():
+        spans.setdefault(r["lang"], []).append((r["b"], r["keys"]))
+    shares = _shares({lang: sum(k for _, k in found) for lang, found in spans.items()}, most)
+    least = []
+    for lang, found in spans.items():
+        taken, bound = 0, None
+        for b, keys in sorted(found, reverse=True):
+            taken += keys
+            if taken > shares[lang]:
+                break
+            bound = b
+        if bound is not None:
+            least.append((lang, bound))
+    limits = local_table(counts.sparkSession, least, "lang string, least int")  # a row for each language
+    chosen = counts.join(F.broadcast(limits), "lang").filter(_bucket() >= F.col("least")).select("key").distinct()
+    return counts.join(F.broadcast(chosen), "key", "left_semi").select("lang", "key", "n").toArrow()  # chosen: at most ``most``
+
+
+def _totals(counts: DataFrame, group: Column) -> dict[tuple[str, int], int]:
+    found = counts.groupBy("lang", group.alias("g")).agg(F.sum("n").alias("n")).collect()
+    return {(r["lang"], r["g"]): r["n"] for r in found}
+
+
+def _logs(rows: pa.Table, totals: dict[tuple[str, int], int], languages: list[str], group) -> tuple[dict[str, int], np.ndarray]:
+    """Log of (n + 1/2) over the language's full total plus 1/2 for each key, within each group of keys (all words; n-grams of one length).
+
+    A key that a language does not hold so has comparable mass in large and small languages.
+    """
+    coded = rows.column("key").combine_chunks().dictionary_encode()
+    keys = coded.dictionary.to_pylist()
+    counts = np.zeros((len(keys), len(languages)))
+    at = pc.index_in(rows.column("lang"), value_set=pa.array(languages, pa.string())).to_numpy()
+    counts[coded.indices.to_numpy(), at] = rows.column("n").to_numpy()
+    groups = np.fromiter(map(group, keys), np.int64, len(keys))
+    sizes = np.bincount(groups)
+    full = np.array([[totals.get((lang, g), 0) for lang in languages] for g in range(len(sizes))], float).reshape(len(sizes), len(languages))
+    logs = np.log((counts + 0.5) / (full + 0.5 * sizes[:, None])[groups]) if keys else counts
+    return dict(zip(keys, range(len(keys)))), logs.astype(np.float32)
+
+
+def train(labelled: DataFrame, max_words: int = 100_000, max_grams: int = 150_000) -> Model:
+    """Model of all rows (lang, text) with non-null lang and text.
+
+    Bounds, both parameters: the model holds at most ``max_words`` words and ``max_grams`` n-grams, each language's most
+    frequent ones in equal shares. They bound what the driver and the tasks hold; words beyond them are scored through
+    their n-grams. Every language that has a word is in the model.
     """
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    total = labelled.count()
-    if total > sample_rows:
-        share = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30))
-        labelled = labelled.filter(share)
     words = materialise(_count_words(labelled))
-    top = _most_frequent(words, max_words)
-    grams = _most_frequent(_count_grams(words), max_grams)
+    sums = _totals(words, F.lit(0))
+    languages = sorted({lang for lang, _ in sums})
+    known = _logs(_kept(words, max_words), sums, languages, lambda k: 0)
+    grams = materialise(_count_grams(words))
+    shorter = _logs(_kept(grams, max_grams), _totals(grams, F.length("key")), languages, len)
     discard(words)
-    languages = sorted({lang for lang, _, _ in top})
-    known = set(languages)
-    return Model(languages, *_logs(top, languages, lambda k: 0), *_logs([g for g in grams if g[0] in known], languages, len))
+    discard(grams)
+    return Model(languages, *known, *shorter)
 
 
 class Scorer:
@@ -190,7 +237,7 @@ def held_out(id_col: str = "doc_id"):
 
 def learn(docs: DataFrame) -> Model:
     """Model of the documents that are not held out and have a language."""
-    return train(docs.filter(~held_out()).select(F.col("doc_id").alias("id"), "lang", "text"))
+    return train(docs.filter(~held_out()).select("lang", "text"))
 
 
 def op6_language(spark, folder: str) -> DataFrame:

@@ -46,6 +46,31 @@ def test_language_edges(spark, messy):
     assert language.predict(messy.limit(0), model).count() == 0
 
 
+def test_language_of_few_labelled_rows(spark):
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(1500)] for lang, letters in (("aa", "abcdefgh"), ("bb", "ijklmnop"))}
+    words["xx"] = ["".join(rng.choice("qrstuvwxyz") for _ in range(6)) for _ in range(30)]
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(lang, text(lang, 60)) for lang in ("aa", "bb") for _ in range(300)] + [("xx", text("xx", 12)) for _ in range(3)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    for bounds in ({}, {"max_words": 90, "max_grams": 600}):
+        model = language.train(labelled, **bounds)
+        assert model.languages == ["aa", "bb", "xx"]  # none is cut
+        assert len(model.words) <= bounds.get("max_words", 10**6) and len(model.grams) <= bounds.get("max_grams", 10**6)
+        scorer = language.Scorer(model)
+        for lang in words:  # and none takes the texts of another
+            assert [scorer.predict(text(lang, 40))[0] for _ in range(40)] == [lang] * 40
+
+
+def test_language_counts_every_row(spark):
+    labelled = spark.range(60_000).selectExpr("CASE WHEN id % 20000 = 7 THEN 'xx' ELSE 'en' END AS lang", "IF(id % 20000 = 7, 'zulu', 'the house') AS text")
+    model = language.train(labelled)
+    logs = dict(zip(model.words, np.exp(model.word_logs.astype(float)).tolist()))
+    assert set(logs) == {"the", "house", "zulu"}
+    assert logs["zulu"] == pytest.approx([0.5 / (119994 + 1.5), 3.5 / (3 + 1.5)], rel=1e-4)
+    assert logs["the"] == pytest.approx([59997.5 / (119994 + 1.5), 0.5 / (3 + 1.5)], rel=1e-4)
+
+
 # -- secret scans --------------------------------------------------------------------------
 
 
