@@ -349,13 +349,13 @@ def svd_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def temporal_svd_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
-    return model_lists(factors.temporal_svd(parts.train, n_components=20, n_time_bins=3, passes=3), parts)
+    return model_lists(factors.temporal_svd(parts.train), parts)
 
 
 @query
 def nmf_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
-    return model_lists(factors.nmf(parts.train, max_iter=10), parts)
+    return model_lists(factors.nmf(parts.train), parts)
 
 
 @query
@@ -367,7 +367,7 @@ def als_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def bm25_als_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
-    return model_lists(implicit.bm25_als(parts.train, n_iterations=5), parts)
+    return model_lists(implicit.bm25_als(parts.train), parts)
 
 
 @query
@@ -385,33 +385,33 @@ def ease_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def svdpp_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
-    return model_lists(gradient.svdpp(parts.train, n_epochs=5), parts)
+    return model_lists(gradient.svdpp(parts.train), parts)
 
 
 @query
 def fm_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
     train = tables.with_part_features(parts.train, spark, folder)
-    return model_lists(hybrid.factorization_machine_model(train, n_epochs=5), parts)
+    return model_lists(hybrid.factorization_machine_model(train), parts)
 
 
 @query
 def bpr_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
-    return model_lists(gradient.bpr(parts.train, n_epochs=5), parts)
+    return model_lists(gradient.bpr(parts.train), parts)
 
 
 @query
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
     train = tables.with_segment(tables.with_part_features(parts.train, spark, folder), spark, folder)
-    return model_lists(hybrid.lightfm_style(train, passes=3), parts)
+    return model_lists(hybrid.lightfm_style(train), parts)
 
 
 @query
 def autoencoder_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
-    return model_lists(gradient.autoencoder(parts.train, max_iter=10), parts)
+    return model_lists(gradient.autoencoder(parts.train), parts)
 
 
 # -- benchmark tables ------------------------------------------------------------------------
