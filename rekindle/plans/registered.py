@@ -296,18 +296,22 @@ def dominant_value(spark: SparkSession, folder: str) -> DataFrame:
     return content.dominant_values(rows, "userID")
 
 
+#: The reference's vocabulary, which the SQL statements of the two queries below state too
+REFERENCE_TERMS = 4000
+
+
 @query
 def tfidf_items(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
     rows = tables.with_part_features(parts.train, spark, folder)
-    return rounded(content.item_tfidf(rows, 4000).drop("df"), "weight")
+    return rounded(content.item_tfidf(rows, REFERENCE_TERMS).drop("df", "terms_cut"), "weight")
 
 
 @query
 def content_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
     train = tables.with_part_features(parts.train, spark, folder)
-    return rounded(content.content_top(train, parts.test, 10), "score")
+    return rounded(content.content_top(train, parts.test, 10, REFERENCE_TERMS), "score")
 
 
 @query
