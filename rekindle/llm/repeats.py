@@ -1,8 +1,7 @@
 """Removal of repeated byte strings, by sampled suffixes and names.
 
-A byte goes if a string of ``length`` bytes that covers it also starts somewhere else. The method is that of a
-difference cover: only a sample of the suffixes is named, and every other start is placed by the few bytes up to its next sample and
-that sample's name.
+A byte goes if a string of ``length`` bytes that covers it also starts somewhere else. The method replaces that of a
+difference cover (sorted triples, recursion on names, merge), which was never built or measured: its disk was only reckoned (see README).
 
 1. Sample. The cover is chosen by content: each start takes the position with the smallest hash among the next ``window`` ones. Equal
    strings take the same position, and starts that take the same one form a run.
