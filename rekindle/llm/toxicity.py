@@ -6,7 +6,7 @@
    (a swap of neighbours is one edit). States are sets of (node, edits); their transitions are computed once and kept.
    Only entries that decide a text on their own forgive errors, more of them the longer they are. Words that
    clean labelled rows hold are spelt as meant, so they match exactly or not at all.
-3. Context. The words around a match, and whether quotation marks enclose it, tell abuse from quotation: each lifts or lowers the match's
+3. Context. The words around a match of a deciding entry, and whether quotation marks enclose it, tell abuse from quotation: each lifts or lowers the match's
    weight by what matches with it meant in the labelled rows.
 4. Score. A logistic model of the strongest match, all matches together and the text's length. It is fitted on one half of the
    labelled rows with the lexicon of the other half, so that entries do not vouch for the rows they come from.
@@ -177,6 +177,9 @@ class Model:
     weights: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     constant: float | None = 0.0  # score of every text where there is nothing to learn from
 
+    def decides(self, entry: str) -> bool:
+        return self.entries[entry] >= self.forgiving
+
 
 class Scorer:
     """Matches and scores of texts by a model."""
@@ -223,9 +226,10 @@ class Scorer:
         best: dict[str, float] = {}
         low = text.lower() if found else ""
         for start, end, entry, edits in found:
-            tilt = sum(self.model.context.get(w, 0.0) for w in self.window(low, start, end))
-            # quotation lowers a match, nothing lifts it above one without context
-            value = self.model.entries[entry] * 0.8 ** edits * 2 / (1 + math.exp(-min(tilt, 0.0)))
+            value = self.model.entries[entry] * 0.8 ** edits
+            if self.model.decides(entry):  # quotation lowers such a match, nothing lifts it above one without context
+                tilt = sum(self.model.context.get(w, 0.0) for w in self.window(low, start, end))
+                value *= 2 / (1 + math.exp(-min(tilt, 0.0)))
             word = low[start:end]
             best[word] = max(best.get(word, 0.0), value)
         return max(best.values(), default=0.0), sum(best.values()), math.log1p(n)
@@ -343,7 +347,7 @@ def _near(rows: DataFrame, model: Model) -> frozenset[str]:
 
 
 def _context(rows: DataFrame, model: Model) -> dict[str, float]:
-    """Log-odds by which a context word, or quotation marks, shift what a match means."""
+    """Log-odds by which a context word, or quotation marks, shift what a match of a deciding entry means."""
     share = rows.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -354,7 +358,9 @@ def _context(rows: DataFrame, model: Model) -> dict[str, float]:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 found, _ = scorer.matches(text)
                 low = text.lower()
-                for start, end, _, _ in found:
+                for start, end, entry, _ in found:
+                    if not share.value.decides(entry):
+                        continue
                     counts[toxic].update(scorer.window(low, start, end) | {""})
             names = list(counts[0].keys() | counts[1].keys())
             yield {"word": names, "clean": [counts[0][w] for w in names], "toxic": [counts[1][w] for w in names]}
