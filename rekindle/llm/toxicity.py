@@ -63,7 +63,7 @@ class Matcher:
     Entries with evidence of at least ``forgiving`` may be misspelt, the others match exactly.
     """
 
-    KEPT = 300_000
+    KEPT = 1_000_000  # nodes in all states that are remembered
 
     def __init__(self, entries: dict[str, float], forgiving: float = 0.0):
         self.nodes = [Node()]
@@ -107,6 +107,7 @@ class Matcher:
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(key)
+            self.kept += 1 + len(live)
             self.moves.append({})
         return self.numbers[key]
 
@@ -128,7 +129,6 @@ class Matcher:
                 reach(child, None, edits if letter == c else edits + 1)
                 if letter != c and c in self.nodes[child].children:
                     reach(self.nodes[child].children[c], letter, edits + 1)  # two letters swapped
-        self.kept += 1
         return self._number(live, stem)
 
     def find(self, word: str) -> tuple[int, str] | None:
@@ -184,7 +184,7 @@ class Model:
 class Scorer:
     """Matches and scores of texts by a model."""
 
-    KEPT = 500_000
+    KEPT = 200_000
 
     def __init__(self, model: Model):
         self.model, self.matcher = model, Matcher(model.entries, model.forgiving)
@@ -317,13 +317,10 @@ def _nominated(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def pruned(entries: dict[str, float]) -> dict[str, float]:
-    """Without the stems that a longer entry of the same evidence makes idle."""
-    best: dict[str, float] = {}
-    for entry, value in entries.items():
-        for n in STEMS:
-            if len(entry.rstrip("*")) > n or len(entry) == n and not entry.endswith("*"):
-                best[entry[:n] + "*"] = max(best.get(entry[:n] + "*", 0.0), value)
-    return {e: v for e, v in entries.items() if abs(best.get(e, -1.0) - v) > 1e-9}
+    """Without idle entries: those that a stem of more evidence covers, and stems that a longer entry of the same evidence covers."""
+    cover = lambda entry: [entry[:n] + "*" for n in STEMS if len(entry.rstrip("*")) > n]
+    idle = {stem for e, value in entries.items() for stem in cover(e) if entries.get(stem) == value}
+    return {e: v for e, v in entries.items() if e not in idle and all(entries.get(stem, 0.0) <= v for stem in cover(e))}
 
 
 def _near(rows: DataFrame, model: Model) -> frozenset[str]:
