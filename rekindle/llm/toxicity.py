@@ -60,14 +60,15 @@ class Node:
 class Matcher:
     """Levenshtein automaton over the trie of a lexicon; transitions are made when first needed.
 
-    Entries with evidence of at least ``forgiving`` may be misspelt, the others match exactly.
+    Entries with evidence of at least ``forgiving`` may be misspelt; the others, and those too short, are looked up as they are.
     """
 
     KEPT = 1_000_000  # nodes in all states that are remembered
 
     def __init__(self, entries: dict[str, float], forgiving: float = 0.0):
         self.nodes = [Node()]
-        self.forgiven = {e: edits_for(e) if value >= forgiving else 0 for e, value in entries.items()}
+        self.forgiven = {e: edits_for(e) for e, value in entries.items() if value >= forgiving and edits_for(e)}
+        self.exact = frozenset(entries)
         for entry, edits in sorted(self.forgiven.items()):
             at, stem = 0, entry.endswith("*")
             for c in entry[:-1] if stem else entry:
@@ -133,6 +134,11 @@ class Matcher:
 
     def find(self, word: str) -> tuple[int, str] | None:
         """(edits, entry) of the match with the fewest edits; whole words before stems, then the longest stem, then by name."""
+        if word in self.exact:
+            return 0, word
+        for n in reversed(STEMS):
+            if len(word) > n and word[:n] + "*" in self.exact:
+                return 0, word[:n] + "*"
         if self.kept > self.KEPT:
             self._forget()
         state = self.first
