@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon, matched with errors, and windows of context.
 
 1. Lexicon. Entries are words and stems (beginnings of words, written with a trailing ``*``) that speak for label 1 in the labelled
-   rows: the lower bound of their log-likelihood ratio is positive, and some toxic row holds them among its most telling ones.
+   rows outside quotation marks: the lower bound of their log-likelihood ratio is positive, and some toxic row holds them among its most telling ones.
 2. Matching. The entries form a trie. A Levenshtein automaton runs over its nodes with as many edits as an entry forgives
    (a swap of neighbours is one edit). States are sets of (node, edits); their transitions are computed once and kept.
    Only entries that decide a text on their own forgive errors, more of them the longer they are. Words that
@@ -28,6 +28,7 @@ from rekindle.llm.language import held_out
 from rekindle.session import broadcast_if_small, discard, materialise
 
 TOKEN = re.compile(r"\w+(?:[@$*'’]\w+)*")
+QUOTED = re.compile(r"[\"“„«‹][^\"“”„«»‹›\n]{1,200}[\"“”»›]")
 STEMS = (4, 5, 6)
 PICKS = 8  # entries that a toxic row may nominate
 HELD = 200_000  # counts that a task holds before it passes them on
@@ -168,6 +169,11 @@ def keys_of(words) -> set[str]:
     return out
 
 
+def used(text: str) -> set[str]:
+    """Words and stems of a text outside quotation marks: what is quoted says nothing about the words that are meant."""
+    return keys_of(set(tokens_of(QUOTED.sub(" ", text))))
+
+
 def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
@@ -286,7 +292,7 @@ def _key_counts(rows: DataFrame) -> DataFrame:
 
         def work(batch):
             for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half"))):
-                counts[2 * (1 - toxic) + half].update(keys_of(set(tokens_of(text))))
+                counts[2 * (1 - toxic) + half].update(used(text))
                 if sum(map(len, counts)) > HELD:
                     yield from told()
 
@@ -309,7 +315,7 @@ def _nominated(rows: DataFrame, keys: DataFrame) -> DataFrame:
         def work(batch):
             ids, keys = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                found = keys_of(set(tokens_of(text)))
+                found = used(text)
                 ids += [i] * len(found)
                 keys += found
             yield {"row": np.array(batch.column("row").to_pylist(), np.int64)[ids], "key": keys}
