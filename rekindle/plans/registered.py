@@ -296,22 +296,18 @@ def dominant_value(spark: SparkSession, folder: str) -> DataFrame:
     return content.dominant_values(rows, "userID")
 
 
-#: The reference's vocabulary, which the SQL statements of the two queries below state too
-REFERENCE_TERMS = 4000
-
-
 @query
 def tfidf_items(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
     rows = tables.with_part_features(parts.train, spark, folder)
-    return rounded(content.item_tfidf(rows, REFERENCE_TERMS).drop("df", "terms_cut"), "weight")
+    return rounded(content.item_tfidf(rows).drop("df", "terms_cut"), "weight")
 
 
 @query
 def content_topk(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
     train = tables.with_part_features(parts.train, spark, folder)
-    return rounded(content.content_top(train, parts.test, 10, REFERENCE_TERMS), "score")
+    return rounded(content.content_top(train, parts.test, 10), "score")
 
 
 @query
@@ -538,11 +534,10 @@ def popularity_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(serving.recommend_for(users, lists, train, "Ecommerce-Popularity", 5), "score")
 
 
-def vectors(spark: SparkSession, folder: str, key: str, shift: int = 0) -> DataFrame:
+def vectors(spark: SparkSession, folder: str, key: str) -> DataFrame:
     """Embeddings under the ids of event users or event keys."""
     table = tables.read(spark, folder, "embeddings")
-    ids = (F.col("vec_id") - shift).cast("string").alias(key)
-    return table.filter(F.col("vec_id") >= shift).select(ids, F.col("embedding").cast("array<double>").alias("vec"))
+    return table.select(F.col("vec_id").cast("string").alias(key), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 @query
@@ -566,20 +561,20 @@ def explain_items(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def explain_users(spark: SparkSession, folder: str) -> DataFrame:
     train, recs = event_recommendations(spark, folder)
-    return rounded(explain.similar_users(recs, train, vectors(spark, folder, "userID", 100)))
+    return rounded(explain.similar_users(recs, train, vectors(spark, folder, "userID")))
 
 
 @query
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     _, recs = event_recommendations(spark, folder)
-    top = explain.feature_importance(recs, vectors(spark, folder, "userID", 100), vectors(spark, folder, "itemID"))
+    top = explain.feature_importance(recs, vectors(spark, folder, "userID"), vectors(spark, folder, "itemID"))
     return rounded(top.withColumn("dimension", F.col("dimension").cast("bigint")))
 
 
 @query
 def explain_reason(spark: SparkSession, folder: str) -> DataFrame:
     train, recs = event_recommendations(spark, folder)
-    history = explain.first_history(recs, train.filter(F.col("event_type") == "purchase"))
-    near = explain.first_users(recs, train.filter(F.col("event_type") == "signup"))
+    history = explain.first_history(recs, train)
+    near = explain.first_users(recs, train)
     out = explain.explanations(recs, history, near)
     return out.select("userID", "itemID", "primary_reason", "confidence")

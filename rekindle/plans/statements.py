@@ -125,8 +125,7 @@ docs as materialized (
 words as (select id, unnest(regexp_extract_all(doc, '[a-z0-9_]+')) as term from docs),
 terms as materialized (select id, term, count(*) as tf from words group by 1, 2),
 vocab as materialized (
-  select term, df from (
-    select term, count(*) as df, row_number() over (order by sum(tf) desc, term) as rn from terms group by 1) where rn <= 4000),
+  select term, count(*) as df from terms group by 1),
 raw_ as materialized (
   select id, term, df, tf * (ln((1.0::double + (select count(distinct id) from terms)) / (1.0::double + df)) + 1) as w
   from terms join vocab using (term)),
@@ -221,7 +220,7 @@ best as materialized (
 
 VECTORS = """
 keys_ as materialized (select vec_id::varchar as id, embedding::double[] as v from embeddings),
-people as materialized (select (vec_id - 100)::varchar as id, embedding::double[] as v from embeddings where vec_id >= 100)"""
+people as (select * from keys_)"""
 
 EVENT_RECS = """
 people_ as (select distinct "userID" from train),
@@ -484,9 +483,9 @@ cells as (select r."userID", r."itemID", d - 1 as dimension, p.v[d] * q.v[d] as
 select "userID", "itemID", rn as rank, dimension, round(c, 4) as contribution from (
   select *, row_number() over (partition by "userID", "itemID" order by abs(c) desc, dimension) as rn from cells) where rn <= 5""",
     "explain_reason": f"""{EVENTS}, {POPULAR}, {EVENT_RECS},
-hist as (select "userID", "itemID", row_number() over (partition by "userID" order by "itemID") as rn from train where event_type = 'purchase'),
+hist as (select "userID", "itemID", row_number() over (partition by "userID" order by "itemID") as rn from train),
 titles as (select "userID", string_agg("itemID", ', ' order by rn) filter (rn <= 2) as t, count(*) as n from hist where rn <= 3 group by 1),
-owners as (select "itemID", "userID" as other, row_number() over (partition by "itemID" order by "userID") as rn from train where event_type = 'signup'),
+owners as (select "itemID", "userID" as other, row_number() over (partition by "itemID" order by "userID") as rn from train),
 near_ as (select r."userID", r."itemID", count(*) as n from recs r join owners o on o."itemID" = r."itemID" and rn <= 3 and other <> r."userID" group by 1, 2)
 select r."userID", r."itemID", case when t.n > 0 then 'Recommended because you interacted with similar items: ' || t.t
     when o.n > 0 then 'Users with similar taste to you also interacted with this item (' || o.n || ' similar users found)'
