@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,22 +78,53 @@ class ModelRegistry:
     def models(self) -> DataFrame:
         return model_states(self.events())
 
+    def _claim(self, kind: str, number: int) -> int:
+        """The first free number from ``number`` on; the storage creates each claim's file once, so no two writers get the same."""
+        jvm = self.spark._jvm
+        while True:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{kind}/{number}")
+            fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+            try:
+                if fs.getScheme() == "file":  # Hadoop's local files are checked before they are created, which is two steps
+                    place = fs.makeQualified(path).toUri().getPath()
+                    os.makedirs(os.path.dirname(place), exist_ok=True)
+                    os.close(os.open(place, os.O_CREAT | os.O_EXCL))
+                else:
+                    fs.create(path, False).close()
+                return number
+            except FileExistsError:
+                number += 1
+            except Py4JJavaError:
+                if not fs.exists(path):
+                    raise
+                number += 1
+
     def _append(self, **row) -> None:
         names = [part.split()[0] for part in EVENT_SCHEMA.split(", ")]
-        seq = self.events().agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+        seq = self._claim("seq", self.events().agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0])
         values = tuple(seq if n == "seq" else row.get(n) for n in names)
         self.spark.createDataFrame([values], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(self._log)
 
     def save(self, algorithm: str, tables: dict[str, DataFrame], metrics: dict | None = None,
-             params: dict | None = None, is_implicit: bool = False, notes: str = "", tags: list | None = None) -> str:
-        """Write the model's tables and log it under the next version of its algorithm."""
+             params: dict | None = None, is_implicit: bool = False, notes: str = "", tags: list | None = None,
+             partitions: dict[str, str] | None = None) -> str:
+        """Write the model's tables and log it under the next version of its algorithm.
+
+        ``partitions`` names the column by which a table is laid out in folders. The log entry comes last: a model whose writing was
+        broken off is never listed.
+        """
         model_id = uuid.uuid4().hex[:12]
         top = self.models().filter(F.col("algorithm") == algorithm).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
         path = f"{self.folder}/models/{model_id}"
         for name, df in tables.items():
-            df.write.parquet(f"{path}/{name}")
+            column = (partitions or {}).get(name)
+            if column:
+                df.repartition(F.col(column)).write.partitionBy(column).parquet(f"{path}/{name}")
+            else:
+                df.write.parquet(f"{path}/{name}")
+        version = self._claim(f"version-{hashlib.md5(algorithm.encode()).hexdigest()}", top + 1)
         self._append(
-            event="saved", model_id=model_id, algorithm=algorithm, version=top + 1,
+            event="saved", model_id=model_id, algorithm=algorithm, version=version,
             metrics={k: float(v) for k, v in (metrics or {}).items() if v is not None},
             params={k: str(v) for k, v in (params or {}).items()}, is_implicit=is_implicit,
             created_at=time.time(), path=path, notes=notes, tags=tags or [],
@@ -103,6 +137,12 @@ class ModelRegistry:
             raise KeyError(f"Model ID '{model_id}' not found in registry.")
         return row
 
+    def table_names(self, model_id: str) -> list[str]:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.get(model_id)["path"])
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return sorted(s.getPath().getName() for s in fs.listStatus(path))
+
     def load(self, model_id: str, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.get(model_id)['path']}/{table}")
 

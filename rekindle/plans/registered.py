@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +27,14 @@ from rekindle.operators import (
     popularity,
     registry,
     roles,
+    saved,
     serving,
     split,
 )
+from rekindle.operators.registry import ModelRegistry
 from rekindle.plans import tables
-from rekindle.session import local_table
+from rekindle.plans.algorithms import fit
+from rekindle.session import local_table, work_dir
 from rekindle.sources import readers
 
 QUERIES = {}
@@ -283,6 +288,22 @@ def genre_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ordered, "jaccard")
 
 
+@query
+def item_knn_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    near = neighbours.item_knn_neighbours(parts.train)
+    scores = neighbours.item_predictions(parts.test, parts.train, near)
+    return rounded(neighbours.predictions(parts.test, scores, parts.train), "prediction")
+
+
+@query
+def user_knn_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.order_split(spark, folder)
+    near = neighbours.user_knn_neighbours(parts.train)
+    scores = neighbours.user_predictions(parts.test, parts.train, near)
+    return rounded(neighbours.predictions(parts.test, scores, parts.train), "prediction")
+
+
 @query
 def movie_item_knn(spark: SparkSession, folder: str) -> DataFrame:
     parts = tables.order_split(spark, folder)
@@ -534,6 +555,31 @@ def popularity_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(serving.recommend_for(users, lists, train, "Ecommerce-Popularity", 5), "score")
 
 
+def saved_models(spark: SparkSession, folder: str):
+    """A new registry with the fitted popularity and item neighbour models of the orders, and their ids."""
+    train = tables.order_split(spark, folder).train
+    registry = ModelRegistry(spark, f"{work_dir(spark)}/models-{uuid.uuid4().hex}")
+    names = ("Ecommerce-Popularity", "Item-KNN")
+    return registry, [saved.save(registry, name, fit(name, train).tables, train) for name in names]
+
+
+@query
+def serve_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists of the saved neighbour model for all customers, and for suppliers, whom it does not know."""
+    registry, (_, model_id) = saved_models(spark, folder)
+    registry.promote(model_id)
+    users = tables.read(spark, folder, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("userID"))
+    users = users.union(tables.read(spark, folder, "customer").select(F.col("c_custkey").cast("string")))
+    return rounded(saved.serve_promoted(registry, users, 5), "score")
+
+
+@query
+def serve_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    registry, ids = saved_models(spark, folder)
+    users = tables.read(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("userID"))
+    return saved.serve_ensemble(registry, list(zip(ids, (60.0, 40.0))), users, 5).drop("contributions")
+
+
 def vectors(spark: SparkSession, folder: str, key: str) -> DataFrame:
     """Embeddings under the ids of event users or event keys."""
     table = tables.read(spark, folder, "embeddings")

@@ -386,6 +386,36 @@ scores as materialized (
   from near n join targets on targets."userID" = n.i join train t on t."userID" = n.j join weights w on w.i = n.i group by 1, 2)
 {top_unseen('scores')}""",
     "item_knn": f"{ORDERS}, {cosine('itemID', 'userID', 10, 40)}, {ITEM_SCORES} {top_unseen('scores')}",
+    "item_knn_predictions": f"""{ORDERS}, {cosine('itemID', 'userID', 10, 40)}, {ITEM_SCORES}
+select "userID", "itemID", round(coalesce(score, 0), 6) as prediction from test left join scores using ("userID", "itemID")""",
+    "user_knn_predictions": f"""{ORDERS}, {cosine('userID', 'itemID', 10, 40)},
+weights as (select i, sum(abs(sim)) + 1e-9 as w from near group by 1),
+scores as materialized (
+  select n.i as "userID", t."itemID", round(sum(n.sim * t.rating) / any_value(w.w), 10) as score
+  from near n join targets on targets."userID" = n.i join train t on t."userID" = n.j join weights w on w.i = n.i group by 1, 2)
+select "userID", "itemID", round(coalesce(score, 0), 6) as prediction from test left join scores using ("userID", "itemID")""",
+    "serve_saved": f"""{ORDERS}, {cosine('itemID', 'userID', 10, 40)}, {ITEM_SCORES.replace('join targets using ("userID") ', '')},
+users as (select 'S' || s_suppkey as "userID" from supplier),
+totals as (select "itemID", sum(rating) as score from train group by 1),
+best as (select *, row_number() over (order by score desc, "itemID") as rank from totals)
+select "userID", "itemID", score, rank, 'Item-KNN' as algorithm from ({top_unseen('scores', 5)})
+union all select u."userID", b."itemID", round(b.score, 6), b.rank, 'Item-KNN+popularity_fallback'
+from (select * from users union select c_custkey::varchar from customer) u, best b where b.rank <= 5 and u."userID" not in (select "userID" from train)""",
+    "serve_ensemble": f"""{ORDERS}, {POPULAR}, {cosine('itemID', 'userID', 10, 40)}, {ITEM_SCORES.replace('join targets using ("userID") ', '')},
+lists as (
+  select 0.6::double as w, "userID", "itemID", popular.score from (select distinct "userID" from train), popular
+  union all select 0.4::double, "userID", "itemID", score from scores),
+candidates as materialized (
+  select w, "userID", "itemID", score from (
+    select *, row_number() over (partition by w, "userID" order by score desc, "itemID") as rn from lists anti join train using ("userID", "itemID"))
+  where rn <= 50),
+scaled as (
+  select *, case when max(score) over p = min(score) over p then 1 else (score - min(score) over p) / (max(score) over p - min(score) over p) end as s
+  from candidates window p as (partition by w, "userID")),
+shares as (select "userID", sum(w) as total from (select distinct w, "userID" from candidates) group by 1),
+sums as (select "userID", "itemID", sum(s * w / total) as f from scaled join shares using ("userID") group by 1, 2)
+select "userID", rank, "itemID", round(f, 6) as final_score from (
+  select *, row_number() over (partition by "userID" order by round(f, 10) desc, "itemID") as rank from sums) where rank <= 5""",
     "genre_jaccard": f"with {GENRES} select a, b, round(jaccard, 6) as jaccard from jaccard",
     "movie_item_knn": f"""{ORDERS}, {cosine('itemID', 'userID', 0, 10).replace('near as', 'unused as')}, {GENRES},
 known as (select distinct "itemID" from train),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rekindle.operators.clean import k_core, standardise
 from rekindle.operators.feedback import feedback_profile, resolve_mode
+from rekindle.operators import saved as store
 from rekindle.operators.registry import ModelRegistry
 from rekindle.operators.roles import column_facts, detect_roles, mapping_warnings
 from rekindle.operators.split import Split, train_test
@@ -62,7 +63,8 @@ def train(raw: DataFrame, registry: ModelRegistry, mode: str = "auto", top_k: in
             chosen |= result["best_params"]
         model = fit(name, split.train, **chosen)
         metrics = {c: row[c] for c in ("RMSE", "MAE", "precision_at_k", "recall_at_k", "ndcg_at_k", "map_at_k")}
-        saved[name] = registry.save(name, model.tables, metrics, chosen, resolved == "implicit")
+        saved[name] = store.save(
+            registry, name, model.tables, split.train, metrics=metrics, params=chosen, is_implicit=resolved == "implicit")
     best = ranked[0]["algorithm"] if ranked else None
     if best:
         registry.promote(saved[best])
