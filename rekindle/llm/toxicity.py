@@ -69,7 +69,8 @@ class Matcher:
     def __init__(self, entries: dict[str, float], forgiving: float = 0.0):
         self.nodes = [Node()]
         self.forgiven = {e: edits_for(e) for e, value in entries.items() if value >= forgiving and edits_for(e)}
-        self.exact = frozenset(entries)
+        self.words = frozenset(e for e in entries if not e.endswith("*"))
+        self.stems = [(n, found) for n in reversed(STEMS) if (found := frozenset(e[:-1] for e in entries if e.endswith("*") and len(e) == n + 1))]
         for entry, edits in sorted(self.forgiven.items()):
             at, stem = 0, entry.endswith("*")
             for c in entry[:-1] if stem else entry:
@@ -105,6 +106,8 @@ class Matcher:
             entry = self.nodes[node].stem
             if entry and swap is None and edits <= self.forgiven[entry]:
                 stem = min(stem or (9, ""), (edits, entry), key=lambda s: (s[0], -len(s[1]), s[1]))
+        if not live and stem is None:
+            return -1  # nothing can match any more
         key = (frozenset((n, s, e) for (n, s), e in live.items()), stem)
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
@@ -135,21 +138,21 @@ class Matcher:
 
     def find(self, word: str) -> tuple[int, str] | None:
         """(edits, entry) of the match with the fewest edits; whole words before stems, then the longest stem, then by name."""
-        if word in self.exact:
+        if word in self.words:
             return 0, word
-        for n in reversed(STEMS):
-            if len(word) > n and word[:n] + "*" in self.exact:
+        for n, stems in self.stems:
+            if word[:n] in stems and len(word) > n:
                 return 0, word[:n] + "*"
         if self.kept > self.KEPT:
             self._forget()
-        state = self.first
+        state, moves = self.first, self.moves
         for c in word:
-            after = self.moves[state].get(c)
+            after = moves[state].get(c)
             if after is None:
-                after = self.moves[state][c] = self._move(state, c)
+                after = moves[state][c] = self._move(state, c)
+            if after < 0:
+                return None
             state = after
-            if not self.states[state][0]:
-                break
         places, stem = self.states[state]
         best = (stem[0], 1, stem[1]) if stem else None
         for node, swap, edits in places:
@@ -200,26 +203,32 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.matcher = model, Matcher(model.entries, model.forgiving)
-        self.seen: dict[str, tuple[int, str] | None] = {}
+        self.seen: set[str] = set()
+        self.found: dict[str, tuple[int, str]] = {}
+        self.hits: set[str] = set()  # the keys of ``found``
 
     def _look(self, words: set[str]) -> None:
         if len(self.seen) > self.KEPT:
-            self.seen.clear()
-        for word in words:
-            if word not in self.seen:
-                found = self.matcher.find(word)
-                self.seen[word] = None if found and found[0] and word in self.model.meant else found
+            for kept in (self.seen, self.found, self.hits):
+                kept.clear()
+        new = words - self.seen
+        self.seen |= new
+        for word in new:
+            found = self.matcher.find(word)
+            if found and not (found[0] and word in self.model.meant):
+                self.found[word] = found
+                self.hits.add(word)
 
     def matches(self, text: str) -> tuple[list[tuple[int, int, str, int]], int]:
         """(start, end, entry, edits) of all matches in code points of the lower-cased text, and the number of words."""
         words = tokens_of(text)
         distinct = set(words)
         self._look(distinct)
-        if not any(map(self.seen.get, distinct)):
+        if distinct.isdisjoint(self.hits):
             return [], len(words)
         out = []
         for m in TOKEN.finditer(text.lower()):
-            found = self.seen[m.group()]
+            found = self.found.get(m.group())
             if found:
                 out.append((m.start(), m.end(), found[1], found[0]))
         return out, len(words)
