@@ -27,7 +27,8 @@ from rekindle.llm.base import map_rows, table
 from rekindle.llm.language import held_out
 from rekindle.session import broadcast_if_small, discard, materialise
 
-TOKEN = re.compile(r"\w+(?:[@$*'’]\w+)*")
+JOINTS = "@$*'’"  # between letters they belong to the word
+TOKEN = re.compile(rf"\w+(?:[{JOINTS}]\w+)*")
 QUOTED = re.compile(r"[\"“„«‹][^\"“”„«»‹›\n]{1,200}[\"“”»›]")
 STEMS = (4, 5, 6)
 PICKS = 8  # entries that a toxic row may nominate
@@ -206,10 +207,11 @@ class Scorer:
         self.seen: set[str] = set()
         self.found: dict[str, tuple[int, str]] = {}
         self.hits: set[str] = set()  # the keys of ``found``
+        self.patterns: dict[str, re.Pattern] = {}
 
     def _look(self, words: set[str]) -> None:
         if len(self.seen) > self.KEPT:
-            for kept in (self.seen, self.found, self.hits):
+            for kept in (self.seen, self.found, self.hits, self.patterns):
                 kept.clear()
         new = words - self.seen
         self.seen |= new
@@ -224,14 +226,18 @@ class Scorer:
         words = tokens_of(text)
         distinct = set(words)
         self._look(distinct)
-        if distinct.isdisjoint(self.hits):
-            return [], len(words)
-        out = []
-        for m in TOKEN.finditer(text.lower()):
-            found = self.found.get(m.group())
-            if found:
-                out.append((m.start(), m.end(), found[1], found[0]))
-        return out, len(words)
+        out, low = [], None
+        for word in distinct & self.hits:
+            low = text.lower() if low is None else low
+            edits, entry = self.found[word]
+            out += [(m.start(), m.end(), entry, edits) for m in self.alone(word).finditer(low)]
+        return sorted(out), len(words)
+
+    def alone(self, word: str) -> re.Pattern:
+        """The word where it is a token of its own: no letter and no joined letter touches it."""
+        if word not in self.patterns:
+            self.patterns[word] = re.compile(rf"(?<!\w)(?<!\w[{JOINTS}]){re.escape(word)}(?!\w)(?![{JOINTS}]\w)")
+        return self.patterns[word]
 
     @staticmethod
     def window(low: str, start: int, end: int) -> set[str]:
@@ -467,12 +473,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(share.value)
 
         def work(batch):
-            scores, matches = [], []
-            for text in batch.column("text").to_pylist():
-                score, found = scorer.judged(text or "")
-                scores.append(score)
-                matches.append([dict(zip(("start", "end", "entry", "edits"), m)) for m in found])
-            yield {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "score": scores, "matches": matches}
+            for at in range(0, batch.num_rows, 1_000):  # matches of a thousand rows are held at once
+                part, scores, matches = batch.slice(at, 1_000), [], []
+                for text in part.column("text").to_pylist():
+                    score, found = scorer.judged(text or "")
+                    scores.append(score)
+                    matches.append([dict(zip(("start", "end", "entry", "edits"), m)) for m in found])
+                yield {"doc_id": part.column("doc_id"), "text": part.column("text"), "score": scores, "matches": matches}
 
         return work
 

@@ -185,6 +185,16 @@ def test_automaton_finds_what_distances_allow():
         assert got is None or got[0] == min(found)[0], (word, got, found)
 
 
+def test_matches_are_whole_tokens():
+    model = toxicity.Model({w: 1.0 for w in ("ab", "b", "a@b", "été")}, forgiving=9.0)
+    scorer, rng = toxicity.Scorer(model), random.Random(9)
+    for _ in range(2_000):
+        text = "".join(rng.choice(["a", "b", "é", "t", "@", "*", "'", " ", ".", "A"]) for _ in range(rng.randint(0, 14)))
+        low = text.lower()
+        want = [(m.start(), m.end(), m.group()) for m in toxicity.TOKEN.finditer(low) if m.group() in model.entries]
+        assert [m[:3] for m in scorer.matches(text)[0]] == want, text
+
+
 def toxic_corpus(n=1_200):
     rng = random.Random(4)
     words = [a + b for a in ("ma", "re", "to", "li", "su", "ne") for b in ("ra", "ti", "lo", "ken", "mi", "pad")]
