@@ -56,16 +56,24 @@ def test_stages(spark, docs):
     assert texts(after) == want and len(want) < len(kept)
 
     after = corpus_pipeline.repeats_stage(spark, after, "")
-    cut, shared = [], [t.encode() for _, t in want]
+    cut, shared, size = [], [t.encode() for _, t in want], corpus_pipeline.REPEAT
     seen = {}
     for raw in shared:
-        for s in range(len(raw) - 399):
-            seen[raw[s:s + 400]] = seen.get(raw[s:s + 400], 0) + 1
+        for s in range(len(raw) - size + 1):
+            seen[raw[s:s + size]] = seen.get(raw[s:s + size], 0) + 1
     for (key, _), raw in zip(want, shared):
         gone = bytearray(len(raw))
-        for s in range(len(raw) - 399):
-            if seen[raw[s:s + 400]] > 1:
-                gone[s:s + 400] = b"\1" * 400
+        for s in range(len(raw) - size + 1):
+            if seen[raw[s:s + size]] > 1:
+                gone[s:s + size] = b"\1" * size
+        at = 0
+        while at < len(raw):  # spans of fewer words than a passage stay
+            end = at
+            while end < len(raw) and gone[end] == gone[at]:
+                end += 1
+            if gone[at] and len(raw[at:end].split()) < corpus_pipeline.PASSAGE:
+                gone[at:end] = bytes(end - at)
+            at = end
         cut.append((key, bytes(b for b, g in zip(raw, gone) if not g).decode()))
     assert texts(after) == sorted(cut) and cut != want
 
@@ -115,3 +123,17 @@ def test_similar_stage_removes_copies_between_the_two_measures(spark):
     docs = spark.createDataFrame([(k, t, "en", "x", len(t)) for k, t in rows], COLUMNS)
     assert {r.doc_id for r in similar.link(docs).filter("doc_id = component_id").collect()} == {1, 2, 3, 4}
     assert {k for k, _ in texts(corpus_pipeline.similar_stage(spark, docs, ""))} == {"1", "3", "4"}
+
+
+def test_repeats_stage_cuts_passages_of_over_50_words(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    passage, line, own = " ".join(word() for _ in range(52)), " ".join(word() for _ in range(42)), [" ".join(word() for _ in range(80)) for _ in range(6)]
+    assert len(passage) < 400 and len(line) > corpus_pipeline.REPEAT
+    rows = [(1, f"{own[0]}\n{passage}\n{own[1]}"), (2, f"{own[2]}\t{passage}"), (3, f"{own[3]}. {line}"), (4, f"{line}, {own[4]}"), (None, f"{passage} {own[5]}"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(k, t, "en", "x", len(t or "")) for k, t in rows], COLUMNS).selectExpr("*", "1 AS gone", "2 AS row", "3 AS size")
+    got = corpus_pipeline.repeats_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = {r.doc_id: r.text for r in got.collect()}
+    assert passage[5:-5] not in " ".join(t or "" for t in kept.values()) and all(any(o[5:-5] in (t or "") for t in kept.values()) for o in own)
+    assert (kept[3], kept[4], kept[5], kept[6]) == (rows[2][1], rows[3][1], None, "")
