@@ -17,9 +17,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from rekindle.session import broadcast_if_small, discard, materialise
 
 JOINTS = "@$*'’"  # between letters they belong to the word
 TOKEN = re.compile(rf"\w+(?:[{JOINTS}]\w+)*")
+OPENS, CLOSES = re.compile(rf"(?<!\w)(?<!\w[{JOINTS}])"), re.compile(rf"(?!\w)(?![{JOINTS}]\w)")  # edges of a token
 QUOTED = re.compile(r"[\"“„«‹][^\"“”„«»‹›\n]{1,200}[\"“”»›]")
 STEMS = (4, 5, 6)
 PICKS = 8  # entries that a toxic row may nominate
@@ -207,11 +210,11 @@ class Scorer:
         self.seen: set[str] = set()
         self.found: dict[str, tuple[int, str]] = {}
         self.hits: set[str] = set()  # the keys of ``found``
-        self.patterns: dict[str, re.Pattern] = {}
 
-    def _look(self, words: set[str]) -> None:
+    def hit(self, words: set[str]) -> set[str]:
+        """The words that match an entry."""
         if len(self.seen) > self.KEPT:
-            for kept in (self.seen, self.found, self.hits, self.patterns):
+            for kept in (self.seen, self.found, self.hits):
                 kept.clear()
         new = words - self.seen
         self.seen |= new
@@ -220,24 +223,23 @@ class Scorer:
             if found and not (found[0] and word in self.model.meant):
                 self.found[word] = found
                 self.hits.add(word)
+        return words & self.hits
 
     def matches(self, text: str) -> tuple[list[tuple[int, int, str, int]], int]:
         """(start, end, entry, edits) of all matches in code points of the lower-cased text, and the number of words."""
         words = tokens_of(text)
-        distinct = set(words)
-        self._look(distinct)
-        out, low = [], None
-        for word in distinct & self.hits:
-            low = text.lower() if low is None else low
-            edits, entry = self.found[word]
-            out += [(m.start(), m.end(), entry, edits) for m in self.alone(word).finditer(low)]
-        return sorted(out), len(words)
-
-    def alone(self, word: str) -> re.Pattern:
-        """The word where it is a token of its own: no letter and no joined letter touches it."""
-        if word not in self.patterns:
-            self.patterns[word] = re.compile(rf"(?<!\w)(?<!\w[{JOINTS}]){re.escape(word)}(?!\w)(?![{JOINTS}]\w)")
-        return self.patterns[word]
+        hits = self.hit(set(words))
+        low = text.lower() if hits else ""
+        return sorted((at, at + len(word), *self.found[word][::-1]) for word in hits for at in self.places(word, low)), len(words)
+
+    @staticmethod
+    def places(word: str, low: str) -> Iterator[int]:
+        """Where the word stands as a token of its own: no letter and no joined letter touches it."""
+        at = low.find(word)
+        while at >= 0:
+            if OPENS.match(low, at) and CLOSES.match(low, at + len(word)):
+                yield at
+            at = low.find(word, at + 1)
 
     @staticmethod
     def window(low: str, start: int, end: int) -> set[str]:
@@ -360,8 +362,7 @@ def _near(rows: DataFrame, model: Model) -> frozenset[str]:
         def work(batch):
             found = set()
             for text in batch.column("text").to_pylist():
-                low = text.lower()
-                found |= {low[a:b] for a, b, _, edits in scorer.matches(text)[0] if edits}
+                found |= {word for word in scorer.hit(set(tokens_of(text))) if scorer.found[word][0]}
             yield {"word": list(found)}
 
         return work
@@ -474,12 +475,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         def work(batch):
             for at in range(0, batch.num_rows, 1_000):  # matches of a thousand rows are held at once
-                part, scores, matches = batch.slice(at, 1_000), [], []
-                for text in part.column("text").to_pylist():
-                    score, found = scorer.judged(text or "")
-                    scores.append(score)
-                    matches.append([dict(zip(("start", "end", "entry", "edits"), m)) for m in found])
-                yield {"doc_id": part.column("doc_id"), "text": part.column("text"), "score": scores, "matches": matches}
+                part = batch.slice(at, 1_000)
+                judged = [scorer.judged(text or "") for text in part.column("text").to_pylist()]
+                columns = list(zip(*(m for _, found in judged for m in found))) or [()] * 4
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int32()))]
+                ends = np.cumsum([0] + [len(found) for _, found in judged])
+                matches = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, ["start", "end", "entry", "edits"]))
+                yield {"doc_id": part.column("doc_id"), "text": part.column("text"), "score": [s for s, _ in judged], "matches": matches}
 
         return work
 
