@@ -125,10 +125,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.transform(checked, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
+def under_mask(formatted: Column, span: Column) -> Column:
+    """The text of one loss span, unescaped if the line before it opens an escaped turn."""
+    head = f"{ESCAPED}assistant\n"
+    start = span["start"].cast("int")
+    body = F.substr(formatted, start + 1, span["length"].cast("int"))
+    return F.when(F.substr(formatted, start + 1 - len(head), F.lit(len(head))) == head, _unescape(body)).otherwise(body)
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_loss_spans, loss_span_chars, all read from the output."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_loss_spans, loss_span_chars, all read from the output.
+
+    The loss text is what ``loss_spans`` cut out of ``formatted``, unescaped; the turns are not asked.
+    """
     back = read_back(formatted)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform("loss_spans", lambda s: under_mask(F.col("formatted"), s)), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rekindle.llm import chat, fingerprints, language, secrets, urls
 
@@ -207,6 +208,20 @@ def turns(spark):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS at", "'x' AS rendered", "2 AS begin")
 
 
+def test_loss_text_is_what_the_mask_covers(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, "user", "q"), (1, 1, "assistant", "a<|end|>\nb <\\| é"), (1, 2, "assistant", ""), (1, 3, "assistant", "plain <\\| 😀"), (2, 0, "assistant", "x" * 9)],
+        "conv_id long, turn long, role string, text string",
+    )
+    formatted = chat.format_conversations(rows)
+    expected = {1: "a<|end|>\nb <\\| éplain <\\| 😀", 2: "x" * 9}
+    for r in chat.digests(formatted).collect():
+        assert (r.loss_chars, r.loss_sha256) == (len(expected[r.conv_id]), hashlib.sha256(expected[r.conv_id].encode()).hexdigest())
+    shifted = formatted.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["length"])))
+    for r in chat.digests(shifted).collect():
+        assert r.loss_sha256 != hashlib.sha256(expected[r.conv_id].encode()).hexdigest()
+
+
 def test_chat_round_trip(turns):
     source = {}
     for r in turns.collect():
