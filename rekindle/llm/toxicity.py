@@ -17,8 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from rekindle.session import broadcast_if_small, discard, materialise
 
 JOINTS = "@$*'’"  # between letters they belong to the word
 TOKEN = re.compile(rf"\w+(?:[{JOINTS}]\w+)*")
-OPENS, CLOSES = re.compile(rf"(?<!\w)(?<!\w[{JOINTS}])"), re.compile(rf"(?!\w)(?![{JOINTS}]\w)")  # edges of a token
+PARTS = re.compile(f"({TOKEN.pattern})")  # splits into what stands between tokens and the tokens, in turn
 QUOTED = re.compile(r"[\"“„«‹][^\"“”„«»‹›\n]{1,200}[\"“”»›]")
 STEMS = (4, 5, 6)
 PICKS = 8  # entries that a toxic row may nominate
@@ -169,10 +169,8 @@ class Matcher:
 def keys_of(words) -> set[str]:
     """Words and stems of a text."""
     out = set(words)
-    for word in words:
-        for n in STEMS:
-            if len(word) > n:
-                out.add(word[:n] + "*")
+    for n in STEMS:
+        out.update([stem + "*" for stem in {word[:n] for word in words if len(word) > n}])
     return out
 
 
@@ -227,19 +225,13 @@ class Scorer:
 
     def matches(self, text: str) -> tuple[list[tuple[int, int, str, int]], int]:
         """(start, end, entry, edits) of all matches in code points of the lower-cased text, and the number of words."""
-        words = tokens_of(text)
+        parts = PARTS.split(text.lower())
+        words = parts[1::2]
         hits = self.hit(set(words))
-        low = text.lower() if hits else ""
-        return sorted((at, at + len(word), *self.found[word][::-1]) for word in hits for at in self.places(word, low)), len(words)
-
-    @staticmethod
-    def places(word: str, low: str) -> Iterator[int]:
-        """Where the word stands as a token of its own: no letter and no joined letter touches it."""
-        at = low.find(word)
-        while at >= 0:
-            if OPENS.match(low, at) and CLOSES.match(low, at + len(word)):
-                yield at
-            at = low.find(word, at + 1)
+        if not hits:
+            return [], len(words)
+        ends = list(accumulate(map(len, parts)))
+        return [(ends[2 * k], ends[2 * k + 1], *self.found[w][::-1]) for k, w in enumerate(words) if w in hits], len(words)
 
     @staticmethod
     def window(low: str, start: int, end: int) -> set[str]:
