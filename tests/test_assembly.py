@@ -72,3 +72,12 @@ def test_files_round_trip(spark, tmp_path):
         readers.file_format("x.xlsx")
     again = readers.read_source(spark, "json", {"path": files["json"]}, "x = 2")
     assert again.count() == 1
+
+
+def test_json_output_holds_finite_numbers_only(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, nan, -inf, "NaN"), (2, 0.5, 2.0, None), (3, None, inf, "a")]
+    df = spark.createDataFrame(rows, "id int, `x.y` double, z float, t string")
+    files = writers.write_dataset(df, str(tmp_path / "out"))
+    back = sorted(tuple(r) for r in spark.read.schema(df.schema).json(files["json"]).collect())
+    assert back == [(1, None, None, "NaN"), (2, 0.5, 2.0, None), (3, None, None, "a")]
