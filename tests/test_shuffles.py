@@ -37,3 +37,19 @@ def test_shuffles_do_not_pile_up(tmp_path):
     left, few, many = map(int, line[0].split()[1:])
     assert left <= 3  # the counts at the end alone
     assert many <= few + 40
+
+
+def test_one_file_is_not_one_task(spark):
+    """A table written as one file is still computed by as many tasks as it has partitions."""
+    import pandas as pd
+    from pyspark import TaskContext
+
+    from rekindle.session import materialise
+
+    def work(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"task": [TaskContext.get().taskAttemptId()] * len(pdf)})
+
+    made = materialise(spark.range(4000).repartition(8).mapInPandas(work, "task bigint"), 1)
+    assert made.select("task").distinct().count() == 8
+    assert len(made.inputFiles()) == 1
