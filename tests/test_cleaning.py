@@ -1,6 +1,7 @@
 import pytest
 
 from rekindle.functions.scalars import join_key, name_tokens
+from rekindle.operators import clean
 from rekindle.operators.clean import Roles, k_core, standardise
 from rekindle.operators.roles import column_facts, detect_roles, mapping_warnings, standardise_columns
 from rekindle.operators.split import check_splittable, drop_cold_users, hash_split
@@ -66,6 +67,27 @@ def test_k_core_is_the_brute_force_one(spark, planted):
     assert got.df.columns == df.columns
 
 
+@pytest.mark.parametrize("least", [(2, 2), (3, 1), (1, 3), (4, 3), (50, 50)])
+def test_k_core_of_many_rounds(spark, monkeypatch, least):
+    """A chain that unravels from its end, ids that lose all their pairs, and a core: as by brute force, and the pairs are counted once a side."""
+    chain = [(f"u{n}", f"i{n}") for n in range(12)] + [(f"u{n + 1}", f"i{n}") for n in range(11)]
+    core = [(f"c{a}", f"d{b}") for a in range(5) for b in range(4)] + [("c0", "i3"), ("lone", "only"), ("lone2", "d0")]
+    pairs = chain + core
+    whole, counted = clean.materialise, []
+
+    def written(df, *a):
+        counted.append("count(1) AS _n" in df._jdf.queryExecution().analyzed().toString())
+        return whole(df, *a)
+
+    monkeypatch.setattr(clean, "materialise", written)
+    got = k_core(spark.createDataFrame(pairs, "userID string, itemID string"), *least)
+    want, gone_u, gone_i = brute_core(pairs, *least)
+    rows = [(r["userID"], r["itemID"]) for r in got.df.collect()]
+    assert sorted(rows) == sorted(want)
+    assert (got.removed_users, got.removed_items) == (gone_u, gone_i)
+    assert sum(counted) == 2
+
+
 def test_small_tables_cannot_be_split(spark):
     empty = spark.createDataFrame([], "userID string, itemID string, rating double")
     with pytest.raises(ValueError, match="no interactions remained after cleaning"):
