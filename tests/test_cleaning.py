@@ -86,6 +86,7 @@ def test_k_core_of_many_rounds(spark, monkeypatch, least):
     assert sorted(rows) == sorted(want)
     assert (got.removed_users, got.removed_items) == (gone_u, gone_i)
     assert sum(counted) == 2
+    assert (got.rows, got.users, got.items) == (len(want), len({u for u, _ in want}), len({i for _, i in want}))
 
 
 def test_small_tables_cannot_be_split(spark):
