@@ -11,10 +11,12 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +27,8 @@ CHUNK = re.compile(r"[^ \t\n\r]+")
 #: texts in which lower-casing and the split below are the tokenizer's own, and its split of them into words
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+LINE = 0  # code of the line ends between chunks
+WORD_OR_LINE = re.compile(WORD.pattern + r"|\n")
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
 
@@ -55,6 +59,8 @@ class Words:
     """
 
     KEPT = 500_000
+    GROUP = 4_000_000  # characters whose distinct chunks are looked up together
+    JOINED, AT_ONCE = 256, 16_384  # words that are tokenised as one text, and in one call
 
     def __init__(self, path: str):
         import os
@@ -64,44 +70,94 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        split = json.dumps(json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {})
+        table = json.loads(self.tokenizer.to_str())
+        split = json.dumps(table.get("pre_tokenizer") or {})
         self.known_split = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in split
+        suffix = table["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[n for token, n in vocabulary.items() if token.endswith(suffix)]] = True
         self._forget()
 
-    def words(self, text: str) -> list[str]:
-        if self.known_split and "<|" not in text and PLAIN.fullmatch(text):
-            return WORD.findall(text.lower())
-        return CHUNK.findall(text)
+    def plain(self, text: str) -> bool:
+        return self.known_split and "<|" not in text and bool(PLAIN.fullmatch(text))
 
     def _forget(self) -> None:
         self.code = Codes()
+        self.code["\n"] = LINE
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, self.width), 0
 
-    def _learn(self) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.code.new, add_special_tokens=False)]
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and their number in each."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), self.width, int(counts.sum()))
+        return np.fromiter(chain.from_iterable(found), self.width, int(counts.sum())), counts
+
+    def _word_tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of the known split; joined by spaces they are far cheaper, and word ends tell them apart."""
+        if self.ends is not None:
+            texts = [" ".join(words[k:k + self.JOINED]) for k in range(0, len(words), self.JOINED)]
+            step = self.AT_ONCE // self.JOINED
+            ids = np.concatenate([self._tokens(texts[k:k + step])[0] for k in range(0, len(texts), step)])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(words) and last[-1] == len(ids) - 1:
+                return ids, np.diff(last, prepend=-1)
+        return self._tokens(words)
+
+    def _learn(self, tokens: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        if not self.code.new:
+            return
+        ids, counts = tokens(self.code.new)
         size, need = len(self.code), self.used + len(ids)
         while need > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while size > len(self.begin):
             self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
         self.flat[self.used:need] = ids
-        self.begin[size - len(found):size], self.count[size - len(found):size] = np.cumsum(counts) - counts + self.used, counts
+        self.begin[size - len(counts):size], self.count[size - len(counts):size] = np.cumsum(counts) - counts + self.used, counts
         self.used, self.code.new = need, []
 
+    def _ids(self, codes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of the texts whose words end before the places ``ends`` of ``codes``."""
+        counts = self.count[codes]
+        ids = self.flat[ragged(self.begin[codes], counts)]
+        return np.split(ids, np.append(0, np.cumsum(counts))[ends[:-1]])
+
+    def _plain_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts: split at white space, of which every distinct chunk is split into words once."""
+        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()
+        words = WORD_OR_LINE.findall("".join(f"{c}\n" for c in chunks.dictionary.to_pylist()))
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        self._learn(self._word_tokens)
+        upto = np.flatnonzero(codes == LINE) + 1  # a chunk's words end with the line, which has no ids
+        sizes = np.diff(upto, prepend=0)
+        at = chunks.indices.to_numpy()
+        words_of = codes[ragged((upto - sizes)[at], sizes[at])]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return self._ids(words_of, np.append(0, np.cumsum(sizes[at]))[offsets[1:]])
+
+    def _other_ids(self, texts: list[str]) -> list[np.ndarray]:
+        codes = [np.fromiter(map(self.code.__getitem__, CHUNK.findall(t)), np.int64) for t in texts]
+        self._learn(self._tokens)
+        return self._ids(np.concatenate(codes), np.cumsum([len(c) for c in codes]))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        out = []
-        for group in pieces_of(texts, 1_000_000):
+        out: list[np.ndarray] = [None] * len(texts)
+        for group in pieces_of(texts, self.GROUP):
             if len(self.code) > self.KEPT:
                 self._forget()
-            lookup = self.code.__getitem__
-            codes = [np.fromiter(map(lookup, self.words(t)), np.int64) for t in texts[group]]
-            if self.code.new:
-                self._learn()
-            out += [self.flat[ragged(self.begin[c], self.count[c])] for c in codes]
+            plain, other = [], []
+            for k in range(group.start, group.stop):
+                (plain if self.plain(texts[k]) else other).append(k)
+            for places, ids_of in ((plain, self._plain_ids), (other, self._other_ids)):
+                if places:
+                    for k, ids in zip(places, ids_of([texts[k] for k in places])):
+                        out[k] = ids
         return out
 
 

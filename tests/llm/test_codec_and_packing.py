@@ -78,6 +78,26 @@ def test_words_equal_the_tokenizer():
     assert [i.tolist() for i in words.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_chunks_are_split_once_and_words_tokenised_together():
+    """Repeated chunks cost one lookup per group of texts, and new words go to the tokenizer many at a time."""
+    words, whole = packing.Words(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    calls, encode = [], words.tokenizer.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return encode(texts, **how)
+
+    words.tokenizer = Counted()
+    pool = ["can't", "'sally", "!'s", "x1y", "</w>", "</", "w>", "Ärger", "ß", "a.b", "''", "don'T", "12", "\x01", "\x0c", "\v", "", "   ", "\r\n"]
+    texts = [" ".join(rng) for rng in (random.Random(n).choices(pool + [f"w{k}q" for k in range(900)], k=n % 60) for n in range(600))] + ["", "\n", "x"]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in words.encode(texts)] == want
+    assert sum(calls) < 20, calls
+    words.GROUP, words.KEPT = 300, 50
+    assert [i.tolist() for i in words.encode(texts)] == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_holds_each_token_once(seed):
     rng = random.Random(seed)
