@@ -53,3 +53,21 @@ def test_one_file_is_not_one_task(spark):
     made = materialise(spark.range(4000).repartition(8).mapInPandas(work, "task bigint"), 1)
     assert made.select("task").distinct().count() == 8
     assert len(made.inputFiles()) == 1
+
+
+def test_written_steps_get_bounded_arrow_batches(spark):
+    """Long texts reach Python a few megabytes at a time, and the session's own setting comes back."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from rekindle.session import ARROW_BYTES, materialise
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "n"])
+
+    before = spark.conf.get(ARROW_BYTES)
+    texts = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("x"), 2500).alias("text"))
+    got = materialise(texts.mapInArrow(sizes, "bytes long, n long")).agg(F.max("bytes"), F.sum("n")).first()
+    assert got[0] <= 5_000_000 and got[1] == 8000, got
+    assert spark.conf.get(ARROW_BYTES) == before
